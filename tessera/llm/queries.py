@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .line_dedup import line_dedup
+from .ngram_join import ngram_join
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
@@ -27,5 +28,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_docs(spark, sf_dir), keep_text=False)
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_docs(spark, sf_dir), width=4, threshold=(85, 100))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
