@@ -12,8 +12,9 @@ also probe each higher band whose sizes can still link with theirs.
 Equal segments are combined twice: within a batch of documents, which sends its smallest document for
 each segment, and across batches. Both times the others become candidates with the smallest (a star,
 not all pairs). Candidates are verified on their whole texts and linked ones become components. For
-segments whose documents still lie in several components, all pairs between different components are
-verified as well, so no link that could join two components is missed.
+segments whose documents still lie in several components, whole sketches are compared between the
+components, in tiles of bounded size, and pairs whose Hamming distance allows a link are verified as
+well, so no link that could join two components is missed.
 
 Rules: words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a text of fewer words than a shingle is one
 shingle; null and empty texts have none and link with nothing; documents with null doc_id link with
@@ -33,6 +34,8 @@ from .graph import components
 
 FOUND = "kind string, keys binary, a binary, b binary"
 BAND_RATIO = 1.3
+#: Documents of a segment that one task compares with each other; larger groups are dealt as pairs of tiles.
+TILE = 1024
 
 
 class Sets:
@@ -247,6 +250,62 @@ def _sets(column, width: int) -> list[np.ndarray]:
     return [each[i] for i in coded.indices.to_pylist()]
 
 
+def parity_sketches(width: int):
+    """(doc_id, n, bits): the parity sketch of each document, of the first power of two of at least n bits."""
+
+    def work(batches):
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            texts = V.Texts.of(t["text"])
+            for i, j in V.slices(texts, 4 << 20):
+                s = Sets(V.part(texts, i, j), width)
+                bits = []
+                for k in range(j - i):
+                    wide_ = 1 << max(8, int(s.sizes[k]).bit_length())
+                    odd = np.bincount((s.of(k) & np.uint64(wide_ - 1)).astype(np.int64), minlength=wide_) & 1
+                    # little order, so that folding the upper half onto the lower gives the sketch half as wide
+                    bits.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+                yield from pa.table({"doc_id": t["doc_id"].slice(i, j - i), "n": pa.array(s.sizes, pa.int64()), "bits": pa.array(bits, pa.binary())}).to_batches()
+
+    return work
+
+
+def close_sketches(num: int, den: int):
+    """Pairs of one tile between different components whose sketches and sizes allow a link."""
+
+    def work(table: pa.Table) -> pa.Table:
+        ids, c, n = (table[x].to_numpy() for x in ("doc_id", "c", "n"))
+        raw = table["bits"].to_pylist()
+        t = table["t"].to_numpy()
+        cross = table["x"][0].as_py() != table["y"][0].as_py()
+        width = np.array([len(x) for x in raw])
+        found_a, found_b = [], []
+        for w in np.unique(width):
+            rows = np.flatnonzero(width == w)
+            full = np.frombuffer(b"".join(raw[i] for i in rows), np.uint64).reshape(len(rows), -1)
+            near = np.flatnonzero(width == 2 * w)  # sizes that link differ by less than a factor of two
+            if len(near):
+                big = np.frombuffer(b"".join(raw[i] for i in near), np.uint64).reshape(len(near), -1)
+                half = big.shape[1] // 2
+                full = np.concatenate([full, big[:, :half] ^ big[:, half:]])
+            at = np.r_[rows, near]
+            for i in range(len(rows)):
+                o = at[i + 1 :]
+                ok = (c[o] != c[at[i]]) & (den * np.minimum(n[o], n[at[i]]) >= num * np.maximum(n[o], n[at[i]]))
+                if cross:
+                    ok &= t[o] != t[at[i]]
+                j = np.flatnonzero(ok)
+                if len(j):
+                    apart = np.bitwise_count(full[i + 1 + j] ^ full[i]).sum(1, dtype=np.int64)
+                    j = j[(den + num) * apart <= (den - num) * (n[o[j]] + n[at[i]])]
+                    found_a.append(np.minimum(ids[o[j]], ids[at[i]]))
+                    found_b.append(np.maximum(ids[o[j]], ids[at[i]]))
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
+        return pa.table({"a": a, "b": b})
+
+    return work
+
+
 def linked(pairs: DataFrame, cand: DataFrame, width: int, num: int, den: int) -> DataFrame:
     ta = cand.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     tb = cand.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
@@ -278,13 +337,16 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     linked(pairs, cand, width, num, den).write.parquet(f"{home}/links")
     links = spark.read.schema("a long, b long").parquet(f"{home}/links")
     label = components(copies.unionByName(links)).checkpoint()
-    # segments whose documents are not yet of one component: verify between components
+    # segments whose documents are not yet of one component: compare sketches between components
     member = pick("member", "member").select(F.col("a").alias("doc_id"), F.col("b").alias("key")).distinct()
     named = member.join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
-    open_keys = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    still = named.join(open_keys, "key").checkpoint()
-    x, y = (still.select("key", F.col("doc_id").alias(i), F.col("c").alias(f"c{i}")) for i in "ab")
-    more = x.join(y, "key").where("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_keys = named.groupBy("key").agg(F.count("*").alias("g"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi and g > 2")
+    sketches = cand.mapInArrow(parity_sketches(width), "doc_id long, n long, bits binary")
+    still = named.join(open_keys.select("key", "g"), "key").join(sketches, "doc_id")
+    tiles = still.withColumn("nt", F.ceil(F.col("g") / TILE).cast("int")).withColumn("t", F.pmod(F.xxhash64("doc_id"), F.col("nt")).cast("int"))
+    tiles = tiles.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)))
+    tiles = tiles.select("key", F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"), "t", "doc_id", "c", "n", "bits")
+    more = tiles.groupBy("key", "x", "y").applyInArrow(close_sketches(num, den), "a long, b long").distinct()
     more = more.join(pairs, ["a", "b"], "left_anti")
     linked(more, cand, width, num, den).write.parquet(f"{home}/more")
     extra = spark.read.schema("a long, b long").parquet(f"{home}/more")
