@@ -1,8 +1,53 @@
 """The corpus pipeline: stages over `documents`, each written as Parquet and read by the next."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm.decontam import drop_contaminated
+from tessera.llm.exchange import shared_dir
+from tessera.llm.mixing import mix_documents
+from tessera.llm.ngram_join import near_dedup
+from tessera.llm.sharding import shard_documents
+from tessera.llm.toxicity import drop_toxic
+
+
+def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup(docs, width=5, threshold=(80, 100))
+
+
+def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix_documents(docs)
+
+
+def _sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return shard_documents(docs, n_shards=40)
+
+
+STAGES = [
+    ("toxicity", _toxicity),
+    ("ngram_join", _near_duplicates),
+    ("decontamination", _decontamination),
+    ("mixing", _mixing),
+    ("sharding", _sharding),
+]
+
+#: A trained classifier and dependent rounding have no SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, home = spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_dir(spark)
+    for name, stage in STAGES:
+        path = f"{home}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
