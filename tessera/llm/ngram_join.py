@@ -36,6 +36,8 @@ FOUND = "kind string, keys binary, a binary, b binary"
 BAND_RATIO = 1.3
 #: Documents of a segment that one task compares with each other; larger groups are dealt as pairs of tiles.
 TILE = 1024
+#: Bits a shingle of the sketches compared between components; wide ones lose few flips to collisions.
+SHARP = 8
 
 
 class Sets:
@@ -251,7 +253,7 @@ def _sets(column, width: int) -> list[np.ndarray]:
 
 
 def parity_sketches(width: int):
-    """(doc_id, n, bits): the parity sketch of each document, of the first power of two of at least n bits."""
+    """(doc_id, n, bits): the parity sketch of each document, of SHARP times the first power of two above n bits."""
 
     def work(batches):
         for batch in batches:
@@ -261,7 +263,7 @@ def parity_sketches(width: int):
                 s = Sets(V.part(texts, i, j), width)
                 bits = []
                 for k in range(j - i):
-                    wide_ = 1 << max(8, int(s.sizes[k]).bit_length())
+                    wide_ = SHARP << max(5, int(s.sizes[k]).bit_length())
                     odd = np.bincount((s.of(k) & np.uint64(wide_ - 1)).astype(np.int64), minlength=wide_) & 1
                     # little order, so that folding the upper half onto the lower gives the sketch half as wide
                     bits.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
@@ -274,38 +276,47 @@ def close_sketches(num: int, den: int):
     """Pairs of one tile between different components whose sketches and sizes allow a link."""
 
     def work(table: pa.Table) -> pa.Table:
-        ids, c, n = (table[x].to_numpy() for x in ("doc_id", "c", "n"))
+        table = table.sort_by("key")
+        key, ids, c, n, t = (table[x].to_numpy() for x in ("key", "doc_id", "c", "n", "t"))
         raw = table["bits"].to_pylist()
-        t = table["t"].to_numpy()
         cross = table["x"][0].as_py() != table["y"][0].as_py()
-        width = np.array([len(x) for x in raw])
-        found_a, found_b = [], []
-        for w in np.unique(width):
-            rows = np.flatnonzero(width == w)
-            full = np.frombuffer(b"".join(raw[i] for i in rows), np.uint64).reshape(len(rows), -1)
-            near = np.flatnonzero(width == 2 * w)  # sizes that link differ by less than a factor of two
-            if len(near):
-                big = np.frombuffer(b"".join(raw[i] for i in near), np.uint64).reshape(len(near), -1)
-                half = big.shape[1] // 2
-                full = np.concatenate([full, big[:, :half] ^ big[:, half:]])
-            at = np.r_[rows, near]
-            for i in range(len(rows)):
-                o = at[i + 1 :]
-                ok = (c[o] != c[at[i]]) & (den * np.minimum(n[o], n[at[i]]) >= num * np.maximum(n[o], n[at[i]]))
-                if cross:
-                    ok &= t[o] != t[at[i]]
-                j = np.flatnonzero(ok)
-                if len(j):
-                    apart = np.bitwise_count(full[i + 1 + j] ^ full[i]).sum(1, dtype=np.int64)
-                    j = j[(den + num) * apart <= (den - num) * (n[o[j]] + n[at[i]])]
-                    found_a.append(np.minimum(ids[o[j]], ids[at[i]]))
-                    found_b.append(np.maximum(ids[o[j]], ids[at[i]]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_a, found_b))
-        return pa.table({"a": a, "b": b})
+        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        found = [_close(slice(i, j), ids, c, n, t, raw, cross, num, den) for i, j in zip(at, np.r_[at[1:], len(key)], strict=True)]
+        found = [x for group in found for x in group]
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1])})
 
     return work
 
 
+def _close(rows_of: slice, ids, c, n, t, raw, cross: bool, num: int, den: int) -> list[np.ndarray]:
+    """The pairs of one segment's documents."""
+    ids, c, n, t, raw = ids[rows_of], c[rows_of], n[rows_of], t[rows_of], raw[rows_of]
+    width = np.array([len(x) for x in raw])
+    found = []
+    for w in np.unique(width):
+        rows = np.flatnonzero(width == w)
+        full = np.frombuffer(b"".join(raw[i] for i in rows), np.uint64).reshape(len(rows), -1)
+        near = np.flatnonzero(width == 2 * w)  # sizes that link differ by less than a factor of two
+        if len(near):
+            big = np.frombuffer(b"".join(raw[i] for i in near), np.uint64).reshape(len(near), -1)
+            half = big.shape[1] // 2
+            full = np.concatenate([full, big[:, :half] ^ big[:, half:]])
+        at = np.r_[rows, near]
+        for i in range(len(rows)):
+            o, me = at[i + 1 :], at[i]
+            ok = (c[o] != c[me]) & (den * np.minimum(n[o], n[me]) >= num * np.maximum(n[o], n[me]))
+            if cross:
+                ok &= t[o] != t[me]
+            j = np.flatnonzero(ok)
+            if len(j):
+                apart = np.bitwise_count(full[i + 1 + j] ^ full[i]).sum(1, dtype=np.int64)
+                other = o[j[(den + num) * apart <= (den - num) * (n[o[j]] + n[me])]]
+                if len(other):
+                    found.append(np.stack([np.minimum(ids[other], ids[me]), np.maximum(ids[other], ids[me])], 1))
+    return found
+
+
 def linked(pairs: DataFrame, cand: DataFrame, width: int, num: int, den: int) -> DataFrame:
     ta = cand.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     tb = cand.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
@@ -345,8 +356,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     still = named.join(open_keys.select("key", "g"), "key").join(sketches, "doc_id")
     tiles = still.withColumn("nt", F.ceil(F.col("g") / TILE).cast("int")).withColumn("t", F.pmod(F.xxhash64("doc_id"), F.col("nt")).cast("int"))
     tiles = tiles.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)))
-    tiles = tiles.select("key", F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"), "t", "doc_id", "c", "n", "bits")
-    more = tiles.groupBy("key", "x", "y").applyInArrow(close_sketches(num, den), "a long, b long").distinct()
+    # small segments share a task by range of keys; each pair of tiles of a large one has its own
+    bundle = F.when(F.col("nt") == 1, F.pmod("key", F.lit(n_buckets))).otherwise(F.col("key"))
+    tiles = tiles.select(bundle.alias("bundle"), F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"), "key", "t", "doc_id", "c", "n", "bits")
+    more = tiles.groupBy("bundle", "x", "y").applyInArrow(close_sketches(num, den), "a long, b long").distinct()
     more = more.join(pairs, ["a", "b"], "left_anti")
     linked(more, cand, width, num, den).write.parquet(f"{home}/more")
     extra = spark.read.schema("a long, b long").parquet(f"{home}/more")
