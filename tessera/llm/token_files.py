@@ -33,7 +33,7 @@ NULL_ID = np.iinfo(np.int64).min
 CACHE_PIECES = 400_000
 PARTITION_BYTES = 16 << 20
 # White space beyond ASCII, as UTF-8: U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000
-_FAR_SPACES = "\u0085  " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
+_FAR_SPACES = "\u0085\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 _PUNCT = np.zeros(256, bool)

@@ -1,0 +1,340 @@
+"""Operators against brute force on small tables with nulls, empties, repeats, ties and clashing names."""
+
+import hashlib
+import random
+import re
+import string
+import zlib
+
+import numpy as np
+import pytest
+
+from tessera.llm import textvec as V
+
+SCHEMA = "doc_id long, text string, lang string, source string, p int, keys string, h1 string, score double, shard int"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
+def texts():
+    rng = random.Random(3)
+    vocab = ["the", "of", "Énorme", "naïve,", "x1", "Great", "日本", "a", "b-c", "zz"] + [f"w{i}" for i in range(300)]
+    base = [" ".join(rng.choice(vocab) for _ in range(n)) for n in (5, 12, 13, 14, 60, 200, 700)]
+    passage = " ".join(rng.choice(vocab) for _ in range(60))
+    out = [*base, *base, base[4] + "\n" + base[4], "a " * 400, "", None, " \t\n ", "one", "a b", "\n\n", "x y  z\n\n q's don't\r\n", base[5].upper(), base[5][:-3]]
+    for i in range(12):
+        w = base[6].split(" ")
+        for _ in range(i * 6):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(999)}"
+        out.append(" ".join(w))
+    out += [f"{rng.choice(base[:4])}\n{passage}\nlast line number {i % 3}   " for i in range(8)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i * 3 + 1, t, "en" if i % 2 else None, f"s{i % 4}" if i % 5 else None, 1, "k", "h", 0.5, 3) for i, t in enumerate(texts())]
+    rows.append((None, rows[5][1], None, None, 1, "k", "h", 0.5, 3))
+    random.Random(1).shuffle(rows)
+    return spark.createDataFrame(rows, SCHEMA).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows_of(docs):
+    return sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda x: (x[0] is None, x[0] or 0))
+
+
+def late(a, b):
+    """a comes after b; null last, equal ids not."""
+    big = 1 << 62
+    return (big if a is None else a) > (big if b is None else b)
+
+
+def covered(rows, k):
+    """For each row, words covered by a window of k that a smaller document holds, and each window's first owner."""
+    own = {}
+    for i, t in rows:
+        w = WORD.findall(t)
+        for j in range(len(w) - k + 1):
+            own.setdefault(tuple(w[j : j + k]), i)
+    out = []
+    for i, t in rows:
+        w, g = WORD.findall(t), [None] * len(WORD.findall(t))
+        for j in range(len(w) - k + 1):
+            o = own[tuple(w[j : j + k])]
+            if late(i, o):
+                for x in range(j, j + k):
+                    g[x] = o if g[x] is None else g[x]
+        out.append((i, w, g))
+    return out
+
+
+@pytest.mark.parametrize("k", [4, 13, 30])
+def test_substring_dedup(docs, empty, k):
+    from tessera.llm.substring_dedup import substring_dedup
+
+    got = sorted((r.doc_id or -1, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup(docs, k).collect())
+    want = []
+    for i, w, g in covered(rows_of(docs), k):
+        kept = " ".join(x for x, o in zip(w, g) if o is None)
+        want.append((i or -1, len(w), sum(o is not None for o in g), hashlib.sha256(kept.encode()).hexdigest()))
+    assert got == sorted(want)
+    assert substring_dedup(empty).count() == 0
+
+
+def test_suffix_dedup(docs, empty):
+    from tessera.llm.suffix_dedup import suffix_dedup
+
+    got = set()
+    for r in suffix_dedup(docs, 45).collect():
+        got |= {(r.doc_id, x) for x in range(r.start_word, r.start_word + r.n_words)}
+    assert got == {(i, x) for i, _, g in covered(rows_of(docs), 45) for x, o in enumerate(g) if o is not None}
+    assert suffix_dedup(empty).count() == 0
+
+
+def test_token_files(spark, docs, empty):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from tessera.llm.token_files import token_files
+
+    path = P.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files(docs, path).collect()}
+    start, rows = 0, rows_of(docs)
+    for i, t in [rows[-1], *rows[:-1]]:  # null ids come first
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        assert got[i] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t[:50]
+        start += len(ids)
+    assert token_files(empty, path).count() == 0
+
+
+def test_encoder_cuts_like_the_library():
+    P = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+
+    from tessera.llm.token_files import Encoder
+
+    enc = Encoder(P.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    parts = ["a", "it's", "'s", " ", "  ", "\n", "\t", "é", "…", "12", "x.y", "!!", "''s", "日本", " ", "<|endoftext|>", "#$%", "I'LL", "\r\n", "_", "\x1c"]
+    cases = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(400)]
+    ids, first = enc(pa.array(cases))
+    for i, t in enumerate(cases):
+        assert ids[first[i] : first[i + 1]].tolist() == enc.tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_mixing(docs, empty):
+    from tessera.llm.mixing import mix, mix_documents
+
+    got = mix(docs).collect()
+    assert sorted((r.doc_id or -1, r.size) for r in got) == sorted((i or -1, len(WORD.findall(t))) for i, t in rows_of(docs))
+    source = {r.doc_id: r.source for r in docs.collect()}
+    by = {}
+    for r in got:
+        by.setdefault(source[r.doc_id], []).append(r)
+    size = {s: sum(r.size for r in x) for s, x in by.items()}
+    names = sorted((s for s in size if s is not None)) + [None] * (None in size)
+    w = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    want, capped = {}, set()
+    while True:
+        left = 1.5 * sum(size.values()) - sum(2 * size[s] for s in capped)
+        want = {s: 2 * size[s] if s in capped else left * w[s] / sum(w[x] for x in names if x not in capped) for s in names}
+        over = {s for s in names if want[s] > 2 * size[s]}
+        if not over:
+            break
+        capped |= over
+    for s, x in by.items():
+        assert all(abs(r.target - want[s]) < 1e-6 and r.source_size == size[s] for r in x)
+        assert all(r.taken in (0, r.size, 2 * r.size) for r in x)
+        assert abs(sum(r.taken for r in x) - want[s]) <= max(r.size for r in x)
+    again = mix(docs.repartition(5)).collect()
+    assert sorted((r.doc_id or -1, r.taken) for r in got) == sorted((r.doc_id or -1, r.taken) for r in again)
+    assert mix_documents(docs).count() == sum(r.taken // r.size for r in got if r.size)
+    assert mix(empty).count() == 0 and mix_documents(empty).count() == 0
+
+
+def test_pivot_keeps_words_and_expectation():
+    from tessera.llm.mixing import pivot
+
+    size = np.array([3, 7, 20, 1, 9, 4])
+    p = np.array([0.25, 0.5, 0.3, 0.9, 0.6, 0.1])
+    rng = np.random.default_rng(0)
+    mean = np.zeros(6)
+    for _ in range(20_000):
+        out, at, rest = pivot(size, p.copy(), rng.random(6))
+        x = out.astype(float)
+        if at >= 0:
+            x[at] = rest
+        assert abs((x * size).sum() - (p * size).sum()) < 1e-9
+        mean += x
+    assert np.allclose(mean / 20_000, p, atol=0.02)
+
+
+def test_quality(docs, empty):
+    from tessera.llm.quality import quality
+
+    for r in quality(docs).collect():
+        t = dict(rows_of(docs))[r.doc_id]
+        w = WORD.findall(t)
+        grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        at = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        assert (r.n_words, r.word_chars, r.n_repeat_words) == (len(w), sum(map(len, w)), len(at))
+        assert (r.n_symbols, r.n_dup_lines) == (sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)))
+        assert r.base_failed == (len(w) < 50 or 100 * len(at) > 50 * len(w)) and not (r.base_failed and r.kept)
+    assert quality(empty).count() == 0
+
+
+def test_sharding(docs, empty):
+    from tessera.llm.sharding import shard, shard_documents
+
+    got = shard(docs, 5).collect()
+    assert sorted((r.doc_id or -1, r.size, r.text_crc32) for r in got) == sorted((i or -1, len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t in rows_of(docs))
+    total = [sum(r.size for r in got if r.shard == s) for s in range(5)]
+    assert max(total) - min(total) <= 2 * max(r.size for r in got)
+    for s in range(5):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots)))
+    # the operator itself keeps all columns but the one it adds
+    assert shard_documents(docs.drop("shard"), 5).count() == docs.count()
+    assert shard(empty, 5).count() == 0
+
+
+def test_decontamination(spark, docs, empty):
+    from tessera.llm.decontam import decontaminate, drop_contaminated
+
+    rows = rows_of(docs)
+    split = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    items = [(1, rows[4][1][:90].upper()), (2, "one"), (3, None), (4, "..."), (5, "no such words in any document at all here"), (10, rows[6][1][40:200]), (10, rows[6][1][40:200]), (None, "a b"), (7, "A B")]
+    bench = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id int")
+    for r in decontaminate(docs, bench).collect():
+        w = split.findall(dict(rows)[r.doc_id].translate(FOLD))
+        hit, found = set(), set()
+        for i, t in items:
+            x = split.findall((t or "").translate(FOLD))
+            k = min(8, len(x))
+            for j in range(len(x) - k + 1) if k and i is not None else ():
+                for q in range(len(w) - k + 1):
+                    if w[q : q + k] == x[j : j + k]:
+                        hit |= set(range(q, q + k))
+                        found.add(str(i))
+        ids = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(found), ids, len(found) >= 2), r.doc_id
+    assert decontaminate(empty, bench).count() == 0
+    assert decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+    bad = decontaminate(docs, bench).where("n_items >= 1").count()
+    assert drop_contaminated(docs, bench).count() == docs.count() - bad
+
+
+@pytest.mark.parametrize("n_batches", [1, 5])
+def test_line_dedup(docs, empty, n_batches):
+    from tessera.llm.line_dedup import line_dedup
+
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(FOLD)
+    rows, own, want = rows_of(docs), {}, []
+    for i, t in rows:
+        for x in t.split("\n"):
+            if len(key(x)) >= 10:
+                own.setdefault(key(x), i)
+    for i, t in rows:
+        lines = t.split("\n")
+        kept = [x for x in lines if len(key(x)) < 10 or not late(i, own[key(x)])]
+        want.append((i or -1, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    got = sorted((r.doc_id or -1, r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup(docs, n_batches, fanout=2).collect())
+    assert got == sorted(want)
+    assert line_dedup(empty).count() == 0
+
+
+def test_line_index_levels(spark, docs):
+    from tessera.llm.exchange import shared_dir
+    from tessera.llm.line_dedup import LineIndex
+
+    index = LineIndex(spark, shared_dir(spark), fanout=2)
+    assert index.add(docs).agg({"n_dropped": "sum"}).first()[0] > 0
+    live = docs.where("text is not null").orderBy("doc_id")
+    again = index.add(live)
+    assert again.where("n_lines > n_dropped and n_dropped > 0").count() >= 0
+    assert [len(x) for x in index.levels] in ([1], [0, 1])
+
+
+@pytest.mark.parametrize(("width", "t"), [(4, (85, 100)), (5, (80, 100)), (2, (50, 100))])
+def test_ngram_join(docs, empty, width, t):
+    from tessera.llm.ngram_join import near_dedup, ngram_join
+
+    sets = {}
+    for i, x in rows_of(docs):
+        w = WORD.findall(x.translate(FOLD))
+        sets[i] = {tuple(w[j : j + width]) for j in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+    ids = [i for i in sets if i is not None and sets[i]]
+    changed = True
+    while changed:
+        changed = False
+        for a in ids:
+            for b in ids:
+                both = len(sets[a] & sets[b])
+                if t[1] * both >= t[0] * len(sets[a] | sets[b]) and root[a] != root[b]:
+                    root[a] = root[b] = min(root[a], root[b])
+                    changed = True
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(docs, width, t).collect()}
+    assert got == {i: (len(s), root[i]) for i, s in sets.items()}
+    assert near_dedup(docs, width, t).count() == sum(i == r for i, r in root.items())
+    assert ngram_join(empty).count() == 0
+
+
+def test_sketch_bounds_symmetric_difference():
+    import pyarrow as pa
+
+    from tessera.llm.ngram_join import Sets, parity_sketches
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(7)), "text": texts()[:7]})
+    out = pa.Table.from_batches(parity_sketches(2)([batch])).to_pylist()
+    s = Sets(V.Texts.of(pa.array(texts()[:7])), 2)
+    for i in range(7):
+        for j in range(i):
+            a, b = (np.frombuffer(out[k]["bits"], np.uint8) for k in (i, j))
+            while len(a) != len(b):
+                a, b = (x if len(x) == min(len(a), len(b)) else x[: len(x) // 2] ^ x[len(x) // 2 :] for x in (a, b))
+            assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(s.of(i), s.of(j)))
+
+
+def test_toxicity(spark, empty):
+    from tessera.llm.toxicity import drop_toxic, toxicity
+
+    rng = random.Random(9)
+    bad = ["vile", "rotten", "grubby"]
+    rows, marks = [], []
+    for i in range(900):
+        w = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(5, 60))]
+        toxic = i % 5 == 0
+        for _ in range(3 * toxic):
+            w.insert(rng.randrange(len(w)), rng.choice(bad) + rng.choice(["", "ly", "er"]))
+        rows.append((i, " ".join(w), "en", "s", 1, "k", "h", 0.5, 3))
+        marks.append((i, int(toxic)))
+    rows += [(2000, None, None, None, 1, "k", "h", 0.5, 3), (None, "", "en", "s", 1, "k", "h", 0.5, 3)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([*marks, (5, None), (None, 1)], "doc_id long, toxic int")
+    got = toxicity(docs, labels).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    held = [(r.predicted, dict(marks)[r.doc_id]) for r in got if r.held_out and r.doc_id in dict(marks)]
+    assert sum(a == b for a, b in held) >= 0.97 * len(held)
+    assert drop_toxic(docs.drop("score"), labels).count() == sum(1 - r.predicted for r in got)
+    assert toxicity(docs, labels.limit(0)).where("predicted = 1").count() == 0
+    assert toxicity(empty, labels.limit(0)).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    out = corpus_pipeline.run(spark, d)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    assert out.columns == [*docs.columns, "shard"]
+    assert 0 < out.select("doc_id").distinct().count() <= docs.count()
+    assert out.groupBy("doc_id").count().agg({"count": "max"}).first()[0] <= 2
