@@ -10,11 +10,16 @@ empty segments send those, so two linked documents always share one segment that
 also probe each higher band whose sizes can still link with theirs.
 
 Equal segments are combined twice: within a batch of documents, which sends its smallest document for
-each segment, and across batches. Both times the others become candidates with the smallest (a star,
-not all pairs). Candidates are verified on their whole texts and linked ones become components. For
-segments whose documents still lie in several components, whole sketches are compared between the
-components, in tiles of bounded size, and pairs whose Hamming distance allows a link are verified as
-well, so no link that could join two components is missed.
+each segment, and across batches. Both times a spanning forest of the documents that share segments goes
+out (not all pairs), and its components are groups: linked documents always lie in one group. A group is
+dealt in tiles of bounded size, each pair of tiles to a task, so most texts are sent once. A task compares
+whole sketches, verifies pairs whose Hamming distance allows a link on their sets, skips pairs that links
+found before join already, and emits a forest of links.
+
+Groups beyond `most_tiles` tiles are thinned first: pairs of the forest are verified on texts, and only
+segments whose documents still lie in several components stay open. What is left of such a group is dealt
+in tiles as a whole or segment by segment, whichever sends fewer rows. No pair that could join two
+components is left out in either way.
 
 Rules: words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a text of fewer words than a shingle is one
 shingle; null and empty texts have none and link with nothing; documents with null doc_id link with
@@ -34,8 +39,11 @@ from .graph import components
 
 FOUND = "kind string, keys binary, a binary, b binary"
 BAND_RATIO = 1.3
-#: Documents of a segment that one task compares with each other; larger groups are dealt as pairs of tiles.
+#: Documents, and bytes of their texts, of one tile; larger groups are dealt as pairs of tiles.
 TILE = 1024
+TILE_BYTES = 8 << 20
+#: Groups of more tiles are thinned before they are dealt.
+MOST_TILES = 8
 #: Bits a shingle of the sketches compared between components; wide ones lose few flips to collisions.
 SHARP = 8
 
@@ -130,8 +138,31 @@ def segment_keys(sets: Sets, rows: np.ndarray, num: int, den: int) -> tuple[np.n
     return np.concatenate(keys), np.concatenate(who)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs that takes those found most often first."""
+    if not len(a):
+        return a, b
+    pairs, often = np.unique(np.stack([a, b], 1), axis=0, return_counts=True)
+    pairs = pairs[np.argsort(-often, kind="stable")]
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    kept = []
+    for i, (x, y) in enumerate(pairs.tolist()):
+        x, y = root(x), root(y)
+        if x != y:
+            up[y] = x
+            kept.append(i)
+    return pairs[kept, 0], pairs[kept, 1]
+
+
 def stars(keys: np.ndarray, ids: np.ndarray):
-    """Sorted (keys, smallest id), candidate pairs (smallest, other), and members of keys with several ids."""
+    """Sorted (keys, smallest id), a forest of pairs (smallest, other), and members of keys with several ids."""
     by = np.lexsort((ids, keys))
     k, d = keys[by], ids[by]
     fresh = np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])] if len(k) else np.zeros(0, bool)
@@ -141,10 +172,7 @@ def stars(keys: np.ndarray, ids: np.ndarray):
     at = np.flatnonzero(head)
     size = np.diff(np.r_[at, len(k)])
     rest = ~head
-    a, b = d[at][group[rest]], d[rest]
-    if len(a):
-        p = np.unique(np.stack([a, b], 1), axis=0)
-        a, b = p[:, 0], p[:, 1]
+    a, b = forest(d[at][group[rest]], d[rest])
     many = (size > 1)[group] if len(k) else rest
     return k[at], d[at], a, b, k[many], d[many]
 
@@ -252,47 +280,39 @@ def _sets(column, width: int) -> list[np.ndarray]:
     return [each[i] for i in coded.indices.to_pylist()]
 
 
-def parity_sketches(width: int):
-    """(doc_id, n, bits): the parity sketch of each document, of SHARP times the first power of two above n bits."""
-
-    def work(batches):
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            texts = V.Texts.of(t["text"])
-            for i, j in V.slices(texts, 4 << 20):
-                s = Sets(V.part(texts, i, j), width)
-                bits = []
-                for k in range(j - i):
-                    wide_ = SHARP << max(5, int(s.sizes[k]).bit_length())
-                    odd = np.bincount((s.of(k) & np.uint64(wide_ - 1)).astype(np.int64), minlength=wide_) & 1
-                    # little order, so that folding the upper half onto the lower gives the sketch half as wide
-                    bits.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
-                yield from pa.table({"doc_id": t["doc_id"].slice(i, j - i), "n": pa.array(s.sizes, pa.int64()), "bits": pa.array(bits, pa.binary())}).to_batches()
-
-    return work
+def parity(h: np.ndarray) -> bytes:
+    """The parity sketch of a set, of SHARP times the first power of two above its size in bits."""
+    n_bits = SHARP << max(5, len(h).bit_length())
+    odd = np.bincount((h & np.uint64(n_bits - 1)).astype(np.int64), minlength=n_bits) & 1
+    # little order, so that folding the upper half onto the lower gives the sketch half as wide
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def close_sketches(num: int, den: int):
-    """Pairs of one tile between different components whose sketches and sizes allow a link."""
+def link_tile(width: int, num: int, den: int):
+    """Links between different components among the texts of each key of a tile, or between two tiles: a forest."""
 
     def work(table: pa.Table) -> pa.Table:
         table = table.sort_by("key")
-        key, ids, c, n, t = (table[x].to_numpy() for x in ("key", "doc_id", "c", "n", "t"))
-        raw = table["bits"].to_pylist()
+        key, ids, c, t = (table[x].to_numpy() for x in ("key", "doc_id", "c", "t"))
+        sets = _sets(table["text"], width)
         cross = table["x"][0].as_py() != table["y"][0].as_py()
         at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        found = [_close(slice(i, j), ids, c, n, t, raw, cross, num, den) for i, j in zip(at, np.r_[at[1:], len(key)], strict=True)]
-        found = [x for group in found for x in group]
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": np.ascontiguousarray(pairs[:, 0]), "b": np.ascontiguousarray(pairs[:, 1])})
+        found = []
+        for i, j in zip(at, np.r_[at[1:], len(key)], strict=True):
+            found += _links(sets[i:j], ids[i:j], c[i:j].copy(), t[i:j], cross, num, den)
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
     return work
 
 
-def _close(rows_of: slice, ids, c, n, t, raw, cross: bool, num: int, den: int) -> list[np.ndarray]:
-    """The pairs of one segment's documents."""
-    ids, c, n, t, raw = ids[rows_of], c[rows_of], n[rows_of], t[rows_of], raw[rows_of]
+def _links(sets: list[np.ndarray], ids, c, t, cross: bool, num: int, den: int) -> list[tuple[int, int]]:
+    """Links of one group; c, the component of each document, follows them."""
+    n = np.array([len(x) for x in sets])
+    raw = [parity(x) for x in sets]
     width = np.array([len(x) for x in raw])
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    place = np.split(place, np.cumsum(n)[:-1])
+    mark = np.zeros(len(values), bool)
     found = []
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
@@ -303,31 +323,52 @@ def _close(rows_of: slice, ids, c, n, t, raw, cross: bool, num: int, den: int) -
             half = big.shape[1] // 2
             full = np.concatenate([full, big[:, :half] ^ big[:, half:]])
         at = np.r_[rows, near]
-        for i in range(len(rows)):
-            o, me = at[i + 1 :], at[i]
-            ok = (c[o] != c[me]) & (den * np.minimum(n[o], n[me]) >= num * np.maximum(n[o], n[me]))
+        for i, me in enumerate(rows):
+            o = at[i + 1 :]
+            ok = (c[o] != c[me]) & (den * np.minimum(n[o], n[me]) >= num * np.maximum(n[o], n[me])) & (n[o] > 0)
             if cross:
                 ok &= t[o] != t[me]
             j = np.flatnonzero(ok)
-            if len(j):
-                apart = np.bitwise_count(full[i + 1 + j] ^ full[i]).sum(1, dtype=np.int64)
-                other = o[j[(den + num) * apart <= (den - num) * (n[o[j]] + n[me])]]
-                if len(other):
-                    found.append(np.stack([np.minimum(ids[other], ids[me]), np.maximum(ids[other], ids[me])], 1))
+            if not len(j):
+                continue
+            apart = np.bitwise_count(full[i + 1 + j] ^ full[i]).sum(1, dtype=np.int64)
+            other = o[j[(den + num) * apart <= (den - num) * (n[o[j]] + n[me])]]
+            mark[place[me]] = True
+            for x in range(0, len(other), 128):
+                some = other[x : x + 128]
+                some = some[c[some] != c[me]]
+                if not len(some):
+                    continue
+                both = np.add.reduceat(mark[np.concatenate([place[k] for k in some])].astype(np.int64), np.cumsum(n[some]) - n[some])
+                for k in some[den * both >= num * (n[some] + n[me] - both)]:
+                    if c[k] != c[me]:
+                        found.append((int(ids[me]), int(ids[k])))
+                        c[c == c[k]] = c[me]
+            mark[place[me]] = False
     return found
 
 
+def tile_links(rows: DataFrame, n_buckets: int, width: int, num: int, den: int) -> DataFrame:
+    """Links of rows (key, doc_id, c, nt, text), the documents of a key being dealt to nt tiles."""
+    tiles = rows.withColumn("t", F.pmod(F.xxhash64("doc_id"), F.col("nt")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)))
+    # groups of one tile share a task by a hash of the key; each pair of tiles of a larger one has its own
+    bundle = F.when(F.col("nt") == 1, F.pmod(F.xxhash64("key"), F.lit(n_buckets))).otherwise(F.col("key"))
+    tiles = tiles.select(bundle.alias("bundle"), F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"), "key", "t", "doc_id", "c", "text")
+    return tiles.groupBy("bundle", "x", "y").applyInArrow(link_tile(width, num, den), "a long, b long")
+
+
 def linked(pairs: DataFrame, cand: DataFrame, width: int, num: int, den: int) -> DataFrame:
     ta = cand.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     tb = cand.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(verify(width, num, den), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text", tile: int = TILE, most_tiles: int = MOST_TILES) -> DataFrame:
     """(doc_id, component_id) of every document that is linked to another one."""
     spark = docs.sparkSession
     num, den = threshold
     home = X.shared_dir(spark)
+    X.ensure_checkpoint_dir(spark)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col(doc_id).isNotNull())
     n_buckets = max(64, X.text_bytes(docs, text) // (8 << 20))
     rows = own.mapInArrow(sketch(width, num, den, n_buckets), "bucket int, kind string, keys binary, a binary, b binary")
@@ -341,31 +382,37 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     found = spark.read.schema("keys binary, a binary, b binary, kind string").parquet(f"{home}/found")
     pick = lambda kind, f: found.where(F.col("kind") == kind).select("keys", "a", "b").mapInArrow(unpack(f), "a long, b long")
     copies = pick("link", "pair")
-    pairs = pick("pair", "pair").distinct()
-    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    own.join(ids, "doc_id", "left_semi").write.parquet(f"{home}/cand")
+    pairs = pick("pair", "pair").distinct().checkpoint()
+    group = components(pairs).withColumnRenamed("component_id", "key").checkpoint()
+    length = own.select("doc_id", F.octet_length("text").alias("size"))
+    tiles_of = lambda g, size: F.ceil(F.greatest(g / tile, size / TILE_BYTES, F.lit(1.0))).cast("int")
+    sizes = length.join(group, "doc_id").groupBy("key").agg(F.count("*").alias("g"), F.sum("size").alias("size"))
+    plan = group.join(sizes.select("key", tiles_of(F.col("g"), F.col("size")).alias("nt"), (F.col("size") / F.col("g")).alias("mean")), "key").checkpoint()
+    small_ = plan.where(F.col("nt") <= most_tiles).select("doc_id", "key", F.col("doc_id").alias("c"), "nt")
+    tile_links(own.join(small_, "doc_id"), n_buckets, width, num, den).write.parquet(f"{home}/links")
+    links = spark.read.schema("a long, b long").parquet(f"{home}/links").unionByName(copies)
+    large = plan.where(F.col("nt") > most_tiles).select("doc_id", F.col("key").alias("cluster"), "mean")
+    if not large.limit(1).count():
+        return components(links).checkpoint()
+    # pairs of the forest first; then segments whose documents are not yet of one component
+    own.join(large, "doc_id", "left_semi").write.parquet(f"{home}/cand")
     cand = spark.read.schema("doc_id long, text string").parquet(f"{home}/cand")
-    linked(pairs, cand, width, num, den).write.parquet(f"{home}/links")
-    links = spark.read.schema("a long, b long").parquet(f"{home}/links")
-    label = components(copies.unionByName(links)).checkpoint()
-    # segments whose documents are not yet of one component: compare sketches between components
-    member = pick("member", "member").select(F.col("a").alias("doc_id"), F.col("b").alias("key")).distinct()
-    named = member.join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("c"))
-    open_keys = named.groupBy("key").agg(F.count("*").alias("g"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi and g > 2")
-    sketches = cand.mapInArrow(parity_sketches(width), "doc_id long, n long, bits binary")
-    still = named.join(open_keys.select("key", "g"), "key").join(sketches, "doc_id")
-    tiles = still.withColumn("nt", F.ceil(F.col("g") / TILE).cast("int")).withColumn("t", F.pmod(F.xxhash64("doc_id"), F.col("nt")).cast("int"))
-    tiles = tiles.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)))
-    # small segments share a task by range of keys; each pair of tiles of a large one has its own
-    bundle = F.when(F.col("nt") == 1, F.pmod("key", F.lit(n_buckets))).otherwise(F.col("key"))
-    tiles = tiles.select(bundle.alias("bundle"), F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"), "key", "t", "doc_id", "c", "n", "bits")
-    more = tiles.groupBy("bundle", "x", "y").applyInArrow(close_sketches(num, den), "a long, b long").distinct()
-    more = more.join(pairs, ["a", "b"], "left_anti")
-    linked(more, cand, width, num, den).write.parquet(f"{home}/more")
-    extra = spark.read.schema("a long, b long").parquet(f"{home}/more")
-    if extra.limit(1).count():
-        label = components(label.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).unionByName(extra)).checkpoint()
-    return label
+    of_large = pairs.join(large.select(F.col("doc_id").alias("a")), "a", "left_semi")
+    linked(of_large, cand, width, num, den).write.parquet(f"{home}/forest")
+    links = links.unionByName(spark.read.schema("a long, b long").parquet(f"{home}/forest"))
+    label = components(links).checkpoint()
+    member = pick("member", "member").select(F.col("a").alias("doc_id"), F.col("b").alias("key")).join(large, "doc_id").distinct()
+    named = member.join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("c"), "cluster", "mean")
+    open_keys = named.groupBy("key").agg(F.count("*").alias("g"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    left = named.join(open_keys.select("key", tiles_of(F.col("g"), F.lit(0.0)).alias("nk")), "key").checkpoint()
+    cost = left.groupBy("cluster").agg(F.sum("nk").alias("by_key"), F.count_distinct("doc_id").alias("m"))
+    cost = cost.withColumn("nm", tiles_of(F.col("m"), F.lit(0.0))).select("cluster", "m", (F.col("m") * F.col("nm") <= F.col("by_key")).alias("whole"))
+    left = left.join(cost, "cluster").join(open_keys.select("key", "g"), "key")
+    as_tiles = lambda n: tiles_of(F.col(n), F.col(n) * F.col("mean")).alias("nt")
+    deal = left.where("whole").select(F.col("cluster").alias("key"), "doc_id", "c", as_tiles("m")).distinct()
+    deal = deal.unionByName(left.where("not whole").select("key", "doc_id", "c", as_tiles("g")))
+    tile_links(cand.join(deal, "doc_id"), n_buckets, width, num, den).write.parquet(f"{home}/more")
+    return components(links.unionByName(spark.read.schema("a long, b long").parquet(f"{home}/more"))).checkpoint()
 
 
 def shingle_counts(width: int):
@@ -380,9 +427,9 @@ def shingle_counts(width: int):
     return work
 
 
-def ngram_join(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text", **tiles) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    label = jaccard_components(docs, width, threshold, doc_id, text)
+    label = jaccard_components(docs, width, threshold, doc_id, text, **tiles)
     sizes = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(shingle_counts(width), "doc_id long, n_shingles long")
     return sizes.join(label, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

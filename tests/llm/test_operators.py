@@ -262,8 +262,8 @@ def test_line_index_levels(spark, docs):
     assert [len(x) for x in index.levels] in ([1], [0, 1])
 
 
-@pytest.mark.parametrize(("width", "t"), [(4, (85, 100)), (5, (80, 100)), (2, (50, 100))])
-def test_ngram_join(docs, empty, width, t):
+@pytest.mark.parametrize(("width", "t", "tiles"), [(4, (85, 100), {}), (5, (80, 100), {}), (2, (50, 100), {}), (2, (50, 100), {"tile": 3}), (2, (50, 100), {"tile": 3, "most_tiles": 0}), (4, (85, 100), {"tile": 2, "most_tiles": 1})])
+def test_ngram_join(docs, empty, width, t, tiles):
     from tessera.llm.ngram_join import near_dedup, ngram_join
 
     sets = {}
@@ -281,7 +281,7 @@ def test_ngram_join(docs, empty, width, t):
                 if t[1] * both >= t[0] * len(sets[a] | sets[b]) and root[a] != root[b]:
                     root[a] = root[b] = min(root[a], root[b])
                     changed = True
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(docs, width, t).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(docs, width, t, **tiles).collect()}
     assert got == {i: (len(s), root[i]) for i, s in sets.items()}
     assert near_dedup(docs, width, t).count() == sum(i == r for i, r in root.items())
     assert ngram_join(empty).count() == 0
@@ -290,14 +290,12 @@ def test_ngram_join(docs, empty, width, t):
 def test_sketch_bounds_symmetric_difference():
     import pyarrow as pa
 
-    from tessera.llm.ngram_join import Sets, parity_sketches
+    from tessera.llm.ngram_join import Sets, parity
 
-    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(7)), "text": texts()[:7]})
-    out = pa.Table.from_batches(parity_sketches(2)([batch])).to_pylist()
     s = Sets(V.Texts.of(pa.array(texts()[:7])), 2)
     for i in range(7):
         for j in range(i):
-            a, b = (np.frombuffer(out[k]["bits"], np.uint8) for k in (i, j))
+            a, b = (np.frombuffer(parity(s.of(k)), np.uint8) for k in (i, j))
             while len(a) != len(b):
                 a, b = (x if len(x) == min(len(a), len(b)) else x[: len(x) // 2] ^ x[len(x) // 2 :] for x in (a, b))
             assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(s.of(i), s.of(j)))
