@@ -16,9 +16,10 @@ dealt in tiles of bounded size, each pair of tiles to a task, so most texts are
 whole sketches, verifies pairs whose Hamming distance allows a link on their sets, skips pairs that links
 found before join already, and emits a forest of links.
 
-Groups beyond `most_tiles` tiles are thinned first: pairs of the forest are verified on texts, and only
+Groups beyond `most_tiles` tiles are thinned first: pairs of the forest are compared by sketch and verified on texts, and only
 segments whose documents still lie in several components stay open. What is left of such a group is dealt
-in tiles as a whole or segment by segment, whichever sends fewer rows. No pair that could join two
+in tiles of sketches as a whole or segment by segment, whichever sends fewer rows, and close pairs are
+verified on texts. No pair that could join two
 components is left out in either way.
 
 Rules: words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a text of fewer words than a shingle is one
@@ -40,12 +41,14 @@ from .graph import components
 FOUND = "kind string, keys binary, a binary, b binary"
 BAND_RATIO = 1.3
 #: Documents, and bytes of their texts, of one tile; larger groups are dealt as pairs of tiles.
-TILE = 1024
+TILE = 4096
 TILE_BYTES = 8 << 20
 #: Groups of more tiles are thinned before they are dealt.
 MOST_TILES = 8
-#: Bits a shingle of the sketches compared between components; wide ones lose few flips to collisions.
+#: Bits a shingle of the sketches compared in tiles; wide ones lose few flips to collisions.
 SHARP = 8
+#: They are compared folded to this part of their width first.
+FOLD = 4
 
 
 class Sets:
@@ -299,20 +302,37 @@ def link_tile(width: int, num: int, den: int):
         at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         found = []
         for i, j in zip(at, np.r_[at[1:], len(key)], strict=True):
-            found += _links(sets[i:j], ids[i:j], c[i:j].copy(), t[i:j], cross, num, den)
+            n = np.array([len(x) for x in sets[i:j]])
+            found += _links([parity(x) for x in sets[i:j]], n, ids[i:j], c[i:j].copy(), t[i:j], cross, num, den, sets[i:j])
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
     return work
 
 
-def _links(sets: list[np.ndarray], ids, c, t, cross: bool, num: int, den: int) -> list[tuple[int, int]]:
-    """Links of one group; c, the component of each document, follows them."""
-    n = np.array([len(x) for x in sets])
-    raw = [parity(x) for x in sets]
+def close_tile(num: int, den: int):
+    """As link_tile, on rows with n and bits: pairs between different components whose sketches allow a link."""
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        key, ids, c, t, n = (table[x].to_numpy() for x in ("key", "doc_id", "c", "t", "n"))
+        raw = table["bits"].to_pylist()
+        cross = table["x"][0].as_py() != table["y"][0].as_py()
+        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        found = set()
+        for i, j in zip(at, np.r_[at[1:], len(key)], strict=True):
+            found.update((min(p), max(p)) for p in _links(raw[i:j], n[i:j], ids[i:j], c[i:j], t[i:j], cross, num, den))
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return work
+
+
+def _links(raw: list[bytes], n, ids, c, t, cross: bool, num: int, den: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """With sets, a forest of links of one group, and c, the component of each document, follows them; else all close pairs."""
     width = np.array([len(x) for x in raw])
-    values, place = np.unique(np.concatenate(sets), return_inverse=True)
-    place = np.split(place, np.cumsum(n)[:-1])
-    mark = np.zeros(len(values), bool)
+    if sets is not None:
+        values, place = np.unique(np.concatenate(sets), return_inverse=True)
+        place = np.split(place, np.cumsum(n)[:-1])
+        mark = np.zeros(len(values), bool)
     found = []
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
@@ -322,6 +342,7 @@ def _links(sets: list[np.ndarray], ids, c, t, cross: bool, num: int, den: int) -
             big = np.frombuffer(b"".join(raw[i] for i in near), np.uint64).reshape(len(near), -1)
             half = big.shape[1] // 2
             full = np.concatenate([full, big[:, :half] ^ big[:, half:]])
+        folded = np.bitwise_xor.reduce(full.reshape(len(full), FOLD, -1), 1)
         at = np.r_[rows, near]
         for i, me in enumerate(rows):
             o = at[i + 1 :]
@@ -331,8 +352,15 @@ def _links(sets: list[np.ndarray], ids, c, t, cross: bool, num: int, den: int) -
             j = np.flatnonzero(ok)
             if not len(j):
                 continue
-            apart = np.bitwise_count(full[i + 1 + j] ^ full[i]).sum(1, dtype=np.int64)
-            other = o[j[(den + num) * apart <= (den - num) * (n[o[j]] + n[me])]]
+            for x in (folded, full):
+                apart = np.bitwise_count(x[i + 1 + j] ^ x[i]).sum(1, dtype=np.int64)
+                j = j[(den + num) * apart <= (den - num) * (n[o[j]] + n[me])]
+            other = o[j]
+            if not len(other):
+                continue
+            if sets is None:
+                found += [(int(ids[me]), int(k)) for k in ids[other]]
+                continue
             mark[place[me]] = True
             for x in range(0, len(other), 128):
                 some = other[x : x + 128]
@@ -348,13 +376,46 @@ def _links(sets: list[np.ndarray], ids, c, t, cross: bool, num: int, den: int) -
     return found
 
 
-def tile_links(rows: DataFrame, n_buckets: int, width: int, num: int, den: int) -> DataFrame:
-    """Links of rows (key, doc_id, c, nt, text), the documents of a key being dealt to nt tiles."""
+def tiled(rows: DataFrame, n_buckets: int, work) -> DataFrame:
+    """work on rows (key, doc_id, c, nt and what it reads), the documents of a key being dealt to nt tiles."""
     tiles = rows.withColumn("t", F.pmod(F.xxhash64("doc_id"), F.col("nt")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)))
     # groups of one tile share a task by a hash of the key; each pair of tiles of a larger one has its own
     bundle = F.when(F.col("nt") == 1, F.pmod(F.xxhash64("key"), F.lit(n_buckets))).otherwise(F.col("key"))
-    tiles = tiles.select(bundle.alias("bundle"), F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"), "key", "t", "doc_id", "c", "text")
-    return tiles.groupBy("bundle", "x", "y").applyInArrow(link_tile(width, num, den), "a long, b long")
+    tiles = tiles.withColumns({"bundle": bundle, "x": F.least("t", "o"), "y": F.greatest("t", "o")}).drop("o", "nt")
+    return tiles.groupBy("bundle", "x", "y").applyInArrow(work, "a long, b long")
+
+
+def sketches(width: int):
+    """(doc_id, n, bits): size of the set and parity sketch of each document."""
+
+    def work(batches):
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            texts = V.Texts.of(t["text"])
+            for i, j in V.slices(texts, 4 << 20):
+                s = Sets(V.part(texts, i, j), width)
+                bits = [parity(s.of(k)) for k in range(j - i)]
+                yield from pa.table({"doc_id": t["doc_id"].slice(i, j - i), "n": pa.array(s.sizes, pa.int64()), "bits": pa.array(bits, pa.binary())}).to_batches()
+
+    return work
+
+
+def close_pairs(num: int, den: int):
+    """Pairs with both sketches: those whose sketches and sizes allow a link."""
+
+    def work(batches):
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            ok = []
+            for n, m, p, q in zip(*(t[x].to_pylist() for x in ("na", "nb", "ba", "bb")), strict=True):
+                p, q = sorted((np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)), key=len)
+                near = den * min(n, m) >= num * max(n, m) > 0
+                if near and len(q) > len(p):
+                    q = q[: len(p)] ^ q[len(p) :]
+                ok.append(bool(near) and (den + num) * int(np.bitwise_count(p ^ q).sum(dtype=np.int64)) <= (den - num) * (n + m))
+            yield from t.select(["a", "b"]).filter(pa.array(ok, pa.bool_())).to_batches()
+
+    return work
 
 
 def linked(pairs: DataFrame, cand: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -389,29 +450,33 @@ def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, in
     sizes = length.join(group, "doc_id").groupBy("key").agg(F.count("*").alias("g"), F.sum("size").alias("size"))
     plan = group.join(sizes.select("key", tiles_of(F.col("g"), F.col("size")).alias("nt"), (F.col("size") / F.col("g")).alias("mean")), "key").checkpoint()
     small_ = plan.where(F.col("nt") <= most_tiles).select("doc_id", "key", F.col("doc_id").alias("c"), "nt")
-    tile_links(own.join(small_, "doc_id"), n_buckets, width, num, den).write.parquet(f"{home}/links")
+    tiled(own.join(small_, "doc_id"), n_buckets, link_tile(width, num, den)).write.parquet(f"{home}/links")
     links = spark.read.schema("a long, b long").parquet(f"{home}/links").unionByName(copies)
     large = plan.where(F.col("nt") > most_tiles).select("doc_id", F.col("key").alias("cluster"), "mean")
     if not large.limit(1).count():
         return components(links).checkpoint()
     # pairs of the forest first; then segments whose documents are not yet of one component
-    own.join(large, "doc_id", "left_semi").write.parquet(f"{home}/cand")
-    cand = spark.read.schema("doc_id long, text string").parquet(f"{home}/cand")
-    of_large = pairs.join(large.select(F.col("doc_id").alias("a")), "a", "left_semi")
-    linked(of_large, cand, width, num, den).write.parquet(f"{home}/forest")
+    own.join(large, "doc_id", "left_semi").mapInArrow(sketches(width), "doc_id long, n long, bits binary").write.parquet(f"{home}/sketches")
+    sketch_of = spark.read.schema("doc_id long, n long, bits binary").parquet(f"{home}/sketches")
+    sa, sb = (sketch_of.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}")) for x in "ab")
+    near = pairs.join(sa, "a").join(sb, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(close_pairs(num, den), "a long, b long").checkpoint()
+    linked(near, own, width, num, den).write.parquet(f"{home}/forest")
     links = links.unionByName(spark.read.schema("a long, b long").parquet(f"{home}/forest"))
     label = components(links).checkpoint()
-    member = pick("member", "member").select(F.col("a").alias("doc_id"), F.col("b").alias("key")).join(large, "doc_id").distinct()
-    named = member.join(label, "doc_id", "left").select("key", "doc_id", F.coalesce("component_id", "doc_id").alias("c"), "cluster", "mean")
-    open_keys = named.groupBy("key").agg(F.count("*").alias("g"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-    left = named.join(open_keys.select("key", tiles_of(F.col("g"), F.lit(0.0)).alias("nk")), "key").checkpoint()
+    big = large.join(label, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("c"))
+    named = pick("member", "member").select(F.col("a").alias("doc_id"), F.col("b").alias("key")).join(big, "doc_id")
+    unsettled = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+    left = named.join(unsettled, "key", "left_semi").distinct().join(large, "doc_id").checkpoint()
+    open_keys = left.groupBy("key").agg(F.count("*").alias("g")).withColumn("nk", tiles_of(F.col("g"), F.lit(0.0)))
+    left = left.join(open_keys, "key")
     cost = left.groupBy("cluster").agg(F.sum("nk").alias("by_key"), F.count_distinct("doc_id").alias("m"))
     cost = cost.withColumn("nm", tiles_of(F.col("m"), F.lit(0.0))).select("cluster", "m", (F.col("m") * F.col("nm") <= F.col("by_key")).alias("whole"))
-    left = left.join(cost, "cluster").join(open_keys.select("key", "g"), "key")
-    as_tiles = lambda n: tiles_of(F.col(n), F.col(n) * F.col("mean")).alias("nt")
+    left = left.join(cost, "cluster")
+    as_tiles = lambda n: tiles_of(F.col(n), F.col(n) * F.col("mean") / 2).alias("nt")
     deal = left.where("whole").select(F.col("cluster").alias("key"), "doc_id", "c", as_tiles("m")).distinct()
     deal = deal.unionByName(left.where("not whole").select("key", "doc_id", "c", as_tiles("g")))
-    tile_links(cand.join(deal, "doc_id"), n_buckets, width, num, den).write.parquet(f"{home}/more")
+    close = tiled(sketch_of.join(deal, "doc_id"), n_buckets, close_tile(num, den)).distinct().join(near, ["a", "b"], "left_anti").checkpoint()
+    linked(close, own, width, num, den).write.parquet(f"{home}/more")
     return components(links.unionByName(spark.read.schema("a long, b long").parquet(f"{home}/more"))).checkpoint()
 
 
