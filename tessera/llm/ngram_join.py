@@ -3,10 +3,11 @@
 A document's set of distinct word shingles is folded into a parity sketch: each shingle flips one bit,
 so the Hamming distance of two sketches never exceeds the symmetric difference of the sets. Sets with
 Jaccard >= t and at most `hi` shingles differ in at most d = floor((1 - t) / (1 + t) * 2 * hi) shingles,
-hence in at most d bits. The sketch of a size band is cut into more than d segments of 2**16 bits, so
-linked documents agree in a whole segment (pigeonhole). Only the hash of a segment's set bits is kept.
-Empty segments are spared for: a band has E segments beyond d + 1, and only documents with more than E
-empty segments send those, so two linked documents always share one segment that both send. Documents
+hence in at most d bits. The sketch of a size band is cut into more than d / 2 groups, each of three parts
+of 2**16 bits, so linked documents differ by at most one bit in some group and agree in two of its parts
+(pigeonhole). Two parts are a segment; only the hash of its set bits is kept. A band has spare groups, so
+linked documents agree in several segments, and each keeps back as many of its lightest segments (fewest
+set bits) as leave one of the common ones sent by both: light segments agree by chance. Documents
 also probe each higher band whose sizes can still link with theirs.
 
 Equal segments are combined twice: within a batch of documents, which sends its smallest document for
@@ -40,6 +41,10 @@ from .graph import components
 
 FOUND = "kind string, keys binary, a binary, b binary"
 BAND_RATIO = 1.3
+#: Parts of a group; a segment is all of them but one.
+PARTS = 3
+#: One more group for so many groups.
+SPARE = 8
 #: Documents, and bytes of their texts, of one tile; larger groups are dealt as pairs of tiles.
 TILE = 4096
 TILE_BYTES = 8 << 20
@@ -95,15 +100,21 @@ def bands(most: int) -> np.ndarray:
 
 
 def band_plan(lows: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Segments and spare segments of each band for a threshold num / den."""
+    """Groups of parts of each band for a threshold num / den, and how many of its keys a document may keep back.
+
+    Of g groups more than half as many as the d possible differences, one at least has at most one difference.
+    A group's first difference spoils all keys but one, its second the last; what the d differences can't spoil,
+    less one key, may be kept back.
+    """
     hi = lows[1:] - 1
     d = (den - num) * 2 * hi // (den + num)
-    spare = np.where(d > 0, 1 + (d + 1) * 4 // 100, 0)
-    return d + 1 + spare, spare
+    g = d // 2 + 1
+    g = g + g // SPARE
+    return g, np.where(d <= g, PARTS * g - (PARTS - 1) * d, 2 * g - d) - 1
 
 
 def segment_keys(sets: Sets, rows: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, row) of the segments that the documents `rows` send."""
+    """(keys, row) of the segments that the documents `rows` send: all parts but one of a group make one segment."""
     sizes = sets.sizes[rows]
     if not len(rows) or not sizes.max():
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -111,29 +122,34 @@ def segment_keys(sets: Sets, rows: np.ndarray, num: int, den: int) -> tuple[np.n
     count, spare = band_plan(lows, num, den)
     own = np.searchsorted(lows, sizes, side="right") - 1
     keys, who = [], []
-    step = 0
     todo = rows[sizes > 0]
     band = own[sizes > 0]
     while len(todo):
-        m = count[band]
+        m = count[band] * PARTS
         base = np.cumsum(m) - m
         n = sets.sizes[todo]
         at = np.repeat(sets.first[todo] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        h = sets.h[at]
-        seg = np.repeat(base, n) + (((h >> np.uint64(32)) * np.repeat(m, n).astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-        bit = V.mix64(h) & np.uint64(0xFFFF)
-        acc = np.zeros(int(m.sum()), np.uint64)
-        cut = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-        # equal bits cancel: the exclusive or over shingles is one over the bits that are set
-        acc[seg[cut]] = np.bitwise_xor.reduceat(V.mix64(bit + np.uint64(1)), cut)
-        empty = acc == 0
+        # the order of the hashes is that of the bits, so shingles of equal bits are neighbours
+        bit = ((sets.h[at] >> np.uint64(32)) * np.repeat(m, n).astype(np.uint64)) >> np.uint64(16)
+        bit += np.repeat(base, n).astype(np.uint64) << np.uint64(16)
+        head = np.flatnonzero(np.r_[True, bit[1:] != bit[:-1]])
+        bit = bit[head[(np.diff(np.r_[head, len(bit)]) & 1) == 1]]  # bits flipped an even number of times cancel
+        part = (bit >> np.uint64(16)).astype(np.int64)
+        acc, weight = np.zeros(int(m.sum()), np.uint64), np.bincount(part, minlength=int(m.sum()))
+        if len(part):
+            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            acc[part[cut]] = np.bitwise_xor.reduceat(V.mix64((bit & np.uint64(0xFFFF)) + np.uint64(1)), cut)
         owner = np.repeat(np.arange(len(todo)), m)
-        lone = np.add.reduceat(empty.astype(np.int64), base)
-        send = ~empty | (lone > spare[band])[owner]
-        place = (np.repeat(band, m).astype(np.uint64) << np.uint64(40)) + (np.arange(len(acc)) - np.repeat(base, m)).astype(np.uint64)
-        keys.append(V.mix64(acc + V.mix64(place + np.uint64(7)))[send])
+        within = np.arange(len(acc)) - np.repeat(base, m)
+        acc = V.mix64(acc + V.mix64((np.repeat(band, m).astype(np.uint64) << np.uint64(40)) + within.astype(np.uint64) + np.uint64(7)))
+        # a segment leaves out the part of its own place
+        whole = lambda x: np.repeat(x.reshape(-1, PARTS).sum(1, dtype=x.dtype), PARTS) - x
+        acc, weight = V.mix64(whole(acc) + (within % PARTS).astype(np.uint64)), whole(weight)
+        # the lightest are kept back: linked documents agree on their common segments, so on the order of these too
+        by = np.lexsort((weight, owner))
+        send = np.sort(by[within >= spare[band][owner]])
+        keys.append(acc[send])
         who.append(todo[owner[send]])
-        step += 1
         up = band + 1
         go = sets.sizes[todo] * den >= num * lows[np.minimum(up, len(lows) - 1)]
         go &= up < len(count)
