@@ -301,6 +301,33 @@ def test_sketch_bounds_symmetric_difference():
             assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(s.of(i), s.of(j)))
 
 
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (85, 100), (50, 100), (95, 100), (1, 1)])
+def test_linked_sets_share_a_segment(num, den):
+    from tessera.llm.ngram_join import Sets, segment_keys
+
+    class Given(Sets):
+        def __init__(self, sets):
+            self.h = np.concatenate([np.sort(x) for x in sets])
+            self.first = np.cumsum([0, *map(len, sets)])
+            self.sizes = np.diff(self.first)
+
+    rng = np.random.default_rng(5)
+    for n in [*range(1, 60), 100, 257, 900, 4000]:
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1)
+        pair = [a]
+        for _ in range(12):
+            # drop and add as many as the threshold just allows
+            out = int(rng.integers(0, n * (den - num) // den + 1))
+            add = max(0, min(((n - out) * den - num * n) // num, n))
+            pair.append(np.r_[a[out:], rng.integers(0, 1 << 63, add, dtype=np.uint64)])
+        pair = [np.unique(x) for x in pair]
+        k, r = segment_keys(Given(pair), np.arange(len(pair)), num, den)
+        for i in range(1, len(pair)):
+            both = len(np.intersect1d(pair[0], pair[i]))
+            if den * both >= num * len(np.union1d(pair[0], pair[i])):
+                assert np.isin(k[r == 0], k[r == i]).any(), (n, i)
+
+
 def test_toxicity(spark, empty):
     from tessera.llm.toxicity import drop_toxic, toxicity
 
