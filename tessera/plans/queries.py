@@ -64,13 +64,13 @@ def distinct_edges(spark, d):
 @query("""WITH r AS (SELECT l_orderkey AS key, bool_or(l_linestatus = 'O') AS p, min(CASE WHEN l_linestatus <> 'O' THEN 1 END) AS saver FROM lineitem WHERE l_quantity > 45 GROUP BY 1)
 SELECT o_orderkey AS key, CASE WHEN p IS NULL THEN 'lead' WHEN p THEN 'primary' ELSE 'retired' END AS verdict, CASE WHEN NOT p THEN saver END AS saver FROM orders LEFT JOIN r ON o_orderkey = key""")
 def union_verdict(spark, d):
-    r = t(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("key"), F.when(F.col("l_linestatus") == "O", 0).otherwise(1).alias("config_ord"))
+    r = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.when(F.col("l_linestatus") == "O", 0).otherwise(1).alias("config_ord"))
     return usage.union_verdict(t(spark, d, "orders").select(F.col("o_orderkey").alias("key")), r)
 
 
 @query("SELECT p_brand AS crate, min(l_linenumber) AS covering_ord FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_discount > 0.08 GROUP BY 1")
 def covering_config(spark, d):
-    li = t(spark, d, "lineitem").where("l_discount > 0.08").select("l_partkey", "l_linenumber")
+    li = t(spark, d, "lineitem").select("l_partkey", "l_linenumber")
     j = li.join(t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("crate")), "l_partkey")
     return usage.covering_config(j, "crate", "l_linenumber")
 
@@ -100,7 +100,7 @@ def private_orphans(spark, d):
 @query("""WITH g AS (SELECT l_linestatus AS config_id, l_suppkey AS module, bool_and(p_size <= 45) AS x FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 48 GROUP BY ALL)
 SELECT config_id, module FROM g WHERE x""")
 def emptied_modules(spark, d):
-    kids = t(spark, d, "lineitem").where("l_quantity > 48").select(F.col("l_linestatus").alias("config_id"), F.col("l_suppkey").alias("module"), F.col("l_partkey").alias("key"))
+    kids = t(spark, d, "lineitem").select(F.col("l_linestatus").alias("config_id"), F.col("l_suppkey").alias("module"), F.col("l_partkey").alias("key"))
     return usage.emptied_modules(kids, t(spark, d, "part").where("p_size <= 45").select(F.col("p_partkey").alias("key")))
 
 
@@ -291,7 +291,7 @@ def page_refs(spark, d):
 @query("""WITH i AS (SELECT DISTINCT l_suppkey AS member, p_brand AS name, p_size AS version FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49 AND l_tax > 0.07),
 a AS (SELECT name, count(DISTINCT version) = 1 AS agree FROM i GROUP BY 1) SELECT member, name, version, agree AND name <> 'Brand#11' AS seed FROM i JOIN a USING (name)""")
 def centralized_deps(spark, d):
-    j = t(spark, d, "lineitem").where("l_quantity > 49 and l_tax > 0.07").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    j = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     deps = j.select(F.col("l_suppkey").alias("member"), F.col("p_brand").alias("name"), F.col("p_size").alias("version"), F.lit(True).alias("default_features"), F.lit(False).alias("uses_workspace"), F.lit(False).alias("is_path")).distinct()
     return verdicts.centralized(deps, spark.range(1).select(F.lit("Brand#11").alias("name"))).select("member", "name", "version", "seed")
 

@@ -1,5 +1,6 @@
 """Queries over lineitem against brute force over all of its rows."""
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 from oracle import rows
 
@@ -62,3 +63,43 @@ def test_an_order_is_unused_only_without_lines(spark):
         return "CrossCrate" if prod_cross or (any_cross and prod_intra) else "IntraCrate" if prod_intra else "TestOnly" if each else "Unused"
 
     assert found(spark, "usage_verdict") == rows(["key", "usage"], [(o["o_orderkey"], usage(by.get(o["o_orderkey"], {}))) for o in table("orders")])
+
+
+def test_union_verdict_leads_only_orders_without_lines(spark):
+    by = {}
+    for x in table("lineitem"):
+        by.setdefault(x["l_orderkey"], set()).add(x["l_linestatus"] == "O")
+    verdict = lambda k: ("lead", None) if k not in by else ("primary", None) if True in by[k] else ("retired", 1)
+    assert found(spark, "union_verdict") == rows(["key", "verdict", "saver"], [(o["o_orderkey"], *verdict(o["o_orderkey"])) for o in table("orders")])
+
+
+def parts(*columns):
+    return {p["p_partkey"]: tuple(p[c] for c in columns) for p in table("part")}
+
+
+def test_centralized_deps_are_those_of_all_lines(spark):
+    part = parts("p_brand", "p_size")
+    deps = {(x["l_suppkey"], *part[x["l_partkey"]]) for x in table("lineitem")}
+    versions = {}
+    for _, name, version in deps:
+        versions.setdefault(name, set()).add(version)
+    assert found(spark, "centralized_deps") == rows(["member", "name", "version", "seed"], [(m, n, v, len(versions[n]) == 1 and n != "Brand#11") for m, n, v in deps])
+
+
+def write(d, lines, part):
+    """lines: (order, line number, part, supplier, status), all of small quantity, discount and tax; part: (key, brand, size)."""
+    li = [dict(zip(("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus"), x), l_quantity=5.0, l_discount=0.01, l_tax=0.01) for x in lines]
+    pq.write_table(pa.Table.from_pylist(li), f"{d}/lineitem.parquet")
+    pq.write_table(pa.Table.from_pylist([dict(zip(("p_partkey", "p_brand", "p_size"), x)) for x in part]), f"{d}/part.parquet")
+    return str(d)
+
+
+def test_outcomes_of_lines_of_small_quantity(spark, tmp_path):
+    d = write(
+        tmp_path, [(1, 1, 1, 7, "O"), (1, 2, 2, 7, "O"), (2, 3, 2, 7, "F"), (2, 2, 3, 8, "O"), (3, 1, 1, 8, "O"), (3, 4, 4, 8, "F")],
+        [(1, "Brand#12", 5), (2, "Brand#13", 9), (3, "Brand#13", 50), (4, "Brand#14", 45)],
+    )
+    assert found(spark, "emptied_modules", d) == rows(["config_id", "module"], [("O", 7), ("F", 7), ("F", 8)])
+    assert found(spark, "covering_config", d) == rows(["crate", "covering_ord"], [("Brand#12", 1), ("Brand#13", 2), ("Brand#14", 4)])
+    seeds = [(7, "Brand#12", 5, True), (8, "Brand#12", 5, True), (7, "Brand#13", 9, False), (8, "Brand#13", 50, False), (8, "Brand#14", 45, True)]
+    assert found(spark, "centralized_deps", d) == rows(["member", "name", "version", "seed"], seeds)
