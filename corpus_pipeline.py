@@ -40,7 +40,8 @@ STAGES = [
     ("sharding", _sharding),
 ]
 
-#: A trained classifier and dependent rounding have no SQL; tests hold run() against brute force.
+#: A trained classifier and dependent rounding have no SQL. Tests hold the ids that near duplicates and decontamination keep
+#: against brute force; of run() as a whole they check the columns, that documents are left and none comes more than twice.
 ORACLE_SQL = None
 
 
