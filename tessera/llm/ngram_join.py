@@ -516,7 +516,21 @@ def ngram_join(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80
 
 
 def near_dedup(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents without those linked, directly or not, to one with a smaller doc_id."""
-    label = jaccard_components(docs, width, threshold, doc_id, text)
-    gone = label.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id))
-    return docs.join(gone, doc_id, "left_anti")
+    """Documents without those linked, directly or not, to an earlier one; of rows equal in doc_id and text one stays.
+
+    Earlier is the smaller doc_id and, between rows that share it, the smaller SHA-256 of the text. Rows without
+    a doc_id are compared with no other text.
+    """
+    own = F.col(doc_id).cast("long")
+    if not docs.groupBy(own.alias("i")).count().where("count > 1").limit(1).count():
+        label = jaccard_components(docs, width, threshold, doc_id, text)
+        gone = label.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id))
+        return docs.join(gone, doc_id, "left_anti")
+    # doc_ids repeat: rows are numbered, and the numbers are kept as they are in a file
+    path = f"{X.shared_dir(docs.sparkSession)}/rows"
+    docs.dropDuplicates([doc_id, text]).withColumn("_row", F.when(own.isNotNull(), F.monotonically_increasing_id())).write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
+    label = jaccard_components(rows, width, threshold, "_row", text).withColumnRenamed("doc_id", "_row")
+    at = rows.select("_row", own.alias("i"), F.sha2(F.col(text).cast("binary"), 256).alias("h")).join(label, "_row")
+    first = at.groupBy("component_id").agg(F.min(F.struct("i", "h", "_row")).alias("f")).select("f._row")
+    return rows.join(at.join(first, "_row", "left_anti").select("_row"), "_row", "left_anti").drop("_row")

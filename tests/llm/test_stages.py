@@ -9,6 +9,26 @@ FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 D = "/root/testdata/sf0.001"
 
 
+def words(n, start):
+    return " ".join(f"w{start + i}" for i in range(n))
+
+
+def test_near_dedup_decides_by_row(spark):
+    from tessera.llm.ngram_join import near_dedup
+
+    a, b, c, d, e = (words(30, k * 100) for k in range(5))
+    near = e + " more"
+    rows = [(1, a), (2, b), (2, b), (3, c), (3, a), (4, near), (4, e), (None, d), (None, d), (None, a), (6, None), (6, None), (7, c)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string")
+    kept = near_dedup(docs)
+    assert kept.columns == docs.columns
+    from hashlib import sha256
+
+    first = min((e, near), key=lambda x: sha256(x.encode()).hexdigest())
+    want = [(1, a, "x"), (2, b, "x"), (3, c, "x"), (4, first, "x"), (None, d, "x"), (None, a, "x"), (6, None, "x")]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_near_duplicates_stage_keeps_what_brute_force_keeps(spark):
     from corpus_pipeline import _near_duplicates
 
