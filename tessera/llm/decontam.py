@@ -93,16 +93,17 @@ def matches(docs: DataFrame, items: DataFrame, window: int, k: int, item_id: str
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = 8, k: int = 4, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, h, n_hit, item_ids) of documents with any match; item_ids sorted as strings."""
+    """(doc_id, h, n_hit, item_ids, longest) of documents with any match; item_ids sorted as strings, longest the widest window hit."""
     found = matches(docs, items, window, k, item_id, item_text)
     by_doc = found.groupBy("doc_id", "h").agg(
         F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end")))).alias("spans"),
         F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"),
+        F.max("len").alias("longest"),
     )
     # spans in order of start: each adds what lies beyond the furthest end so far
     fold = """aggregate(spans, struct(0L as n, 0 as reach),
         (s, x) -> struct(s.n + greatest(x.end - greatest(x.start, s.reach), 0) as n, greatest(x.end, s.reach) as reach), s -> s.n)"""
-    return by_doc.select("doc_id", "h", F.expr(fold).alias("n_hit"), "item_ids")
+    return by_doc.select("doc_id", "h", F.expr(fold).alias("n_hit"), "item_ids", "longest")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, k: int = 4, least_items: int = 2, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -122,8 +123,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, k: int = 4
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 8, k: int = 4, least_items: int = 1, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without those that hold windows of `least_items` items or more."""
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 8, k: int = 4, least_items: int = 1, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", short_alone: bool = True) -> DataFrame:
+    """docs without those that hold windows of `least_items` items or more.
+
+    Without `short_alone`, a single item of less than `window` words removes no document.
+    """
     found = hits(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), items, window, k, item_id, item_text)
+    if not short_alone:
+        found = found.where((F.col("longest") == window) | (F.size("item_ids") > 1))
     bad = found.where(F.size("item_ids") >= least_items).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
     return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_h")), "left_anti")

@@ -69,3 +69,13 @@ def test_decontamination_stage_keeps_what_brute_force_keeps(spark):
     want = sorted(r.doc_id for r in docs.collect() if not dropped(r.text))
     kept = sorted(r.doc_id for r in _decontamination(spark, docs, D).select("doc_id").collect())
     assert len(want) < docs.count() and kept == want
+
+
+def test_a_lone_short_item_removes_no_document_in_the_stage(spark, tmp_path):
+    from corpus_pipeline import _decontamination
+
+    long = words(9, 0)
+    spark.createDataFrame([(1, "yes"), (2, "new york"), (3, long)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "Yes, it is"), (2, "in New York"), (3, "yes, in new york"), (4, f"so {long} on"), (5, "nothing"), (6, "yes yes yes")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in _decontamination(spark, docs, str(tmp_path)).collect()) == [1, 2, 5, 6]
