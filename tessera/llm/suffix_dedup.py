@@ -1,9 +1,9 @@
-"""Suffix-array dedup (operator 2): a sparse suffix array over content-selected positions.
+"""Suffix dedup (operator 2): an anchor hash join over content-selected positions, not a suffix array.
 
 A suffix is retained where the hash of its first `head` words is the smallest of the heads in some
 window of `min_words` words, so any shared passage of `min_words` words retains its suffixes at the
-same places in both documents. Retained suffixes are sorted by head (an order in which equal heads
-stand together) and compared with their neighbours; those whose head also occurs in another document
+same places in both documents. Retained suffixes are sorted by the 64-bit hash of their head (an order in
+which equal heads stand together, not that of their words) and compared with their neighbours; those whose head also occurs in another document
 are extended to both sides: every window of `min_words` words around them is compared by a 128-bit
 hash, and overlapping windows run together to maximal passages.
 
