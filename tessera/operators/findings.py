@@ -60,17 +60,28 @@ def stale_expects(findings: DataFrame, directives: DataFrame, ran: DataFrame) ->
 def unknown(names: DataFrame, known: DataFrame, name: str = "name") -> DataFrame:
     """Names outside the vocabulary, each with the nearest known name within three edits."""
     odd = names.join(known.select(name), name, "left_anti")
-    vocabulary = [r[0] for r in known.select(name).distinct().orderBy(name).limit(1000).collect()]  # the lint registry: a fixed small list
-    return odd.withColumn("suggestion", closest(F.col(name), vocabulary))
+    near = closest(odd.select(F.col(name).alias("target")), known.select(F.col(name).alias("n"))).withColumnRenamed("target", name)
+    return odd.join(near, name, "left")
 
 
-def closest(target: Column, names: list[str], most: int = 3) -> Column:
-    """First name with the smallest edit distance, if that is at most `most`."""
-    if not names:
-        return F.lit(None).cast("string")
-    each = F.array(*[F.struct(F.levenshtein(target, F.lit(n)).alias("d"), F.lit(i).alias("i"), F.lit(n).alias("n")) for i, n in enumerate(names)])
-    best = F.array_min(each)
-    return F.when(best["d"] <= most, best["n"])
+def closest(targets: DataFrame, names: DataFrame, most: int = 3) -> DataFrame:
+    """(target, suggestion): the first name with the smallest edit distance, for targets with one within `most`.
+
+    A name is cut in `most` + 1 pieces. Within `most` edits one piece stands whole in the target, at most `most`
+    places from its own, so targets and names of close lengths meet in an equi join on pieces.
+    """
+    k = most + 1
+    cut = lambda size, i: F.floor(size * i / k).cast("int")
+    piece = lambda text, size, i, at: F.substring(text, at + 1, cut(size, i + 1) - cut(size, i))
+    own = names.where("n is not null").distinct().withColumn("size", F.length("n")).withColumn("i", F.explode(F.array(*map(F.lit, range(k)))))
+    own = own.select("n", "size", "i", piece(F.col("n"), F.col("size"), F.col("i"), cut(F.col("size"), F.col("i"))).alias("piece"))
+    by = targets.where("target is not null").distinct().withColumn("l", F.length("target"))
+    by = by.withColumn("size", F.explode(F.sequence(F.greatest(F.col("l") - most, F.lit(0)), F.col("l") + most))).withColumn("i", F.explode(F.array(*map(F.lit, range(k)))))
+    start = cut(F.col("size"), F.col("i"))
+    by = by.withColumn("at", F.explode(F.sequence(F.greatest(start - most, F.lit(0)), start + most)))
+    by = by.select("target", "size", "i", piece(F.col("target"), F.col("size"), F.col("i"), F.col("at")).alias("piece")).distinct()
+    d = F.levenshtein("target", "n")
+    return by.join(own, ["size", "i", "piece"]).select("target", "n").distinct().withColumn("d", d).where(F.col("d") <= most).groupBy("target").agg(F.min(F.struct("d", "n"))["n"].alias("suggestion"))
 
 
 def owning_crate(anchors: DataFrame, crates: DataFrame) -> DataFrame:
