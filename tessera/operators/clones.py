@@ -133,7 +133,7 @@ def stitchable(groups: DataFrame, most: int = 5) -> DataFrame:
 
 def statement_runs(statements: DataFrame, longest: int | None = None) -> DataFrame:
     """Runs of two statements or more of a block: (block, first, last, tokens). statements(block, pos, tokens)."""
-    w = Window.partitionBy("block").orderBy("pos").rowsBetween(0, (longest or 10_000) - 1)
+    w = Window.partitionBy("block").orderBy("pos").rowsBetween(0, longest - 1 if longest else Window.unboundedFollowing)
     runs = statements.withColumn("r", F.collect_list(F.struct("pos", "tokens")).over(w))
     each = runs.select("block", F.col("pos").alias("first"), F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size("r"), F.lit(2))), lambda n: F.slice("r", 1, n))).alias("s"))
     return each.where("size(s) > 1").select("block", "first", F.element_at("s", -1)["pos"].alias("last"), F.flatten(F.transform("s", lambda x: x["tokens"])).alias("tokens")).distinct()

@@ -2,7 +2,7 @@
 
 import random
 
-from tessera.operators import findings
+from tessera.operators import clones, findings
 
 
 def edits(a, b):
@@ -27,3 +27,12 @@ def test_suggestions_look_at_every_known_name(spark):
             want.append((n, best[2] if best[0] <= 3 else None))
     assert sorted(((r.name, r.suggestion) for r in got), key=repr) == sorted(want, key=repr)
     assert ("zebra-lind", "zebra-lint") in want
+
+
+def test_statement_runs_have_no_longest_run_of_their_own(spark):
+    rows = spark.createDataFrame([("b", i, [f"t{i}"]) for i in range(5)], "block string, pos int, tokens array<string>")
+    got = {(r.first, r.last) for r in clones.statement_runs(rows).collect()}
+    assert got == {(i, j) for i in range(5) for j in range(i + 1, 5)}
+    assert {(r.first, r.last) for r in clones.statement_runs(rows, 2).collect()} == {(i, i + 1) for i in range(4)}
+    plan = clones.statement_runs(rows)._jdf.queryExecution().analyzed().toString().lower()
+    assert "unboundedfollowing" in plan and "9999" not in plan
