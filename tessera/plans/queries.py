@@ -39,7 +39,7 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 EDGES = """e AS (SELECT l_orderkey AS key, l_suppkey AS src, s_nationkey <> c_nationkey AS external, l_returnflag = 'R' AS test, l_linestatus AS config_id
- FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 30)"""
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
 FLAGS = """f AS (SELECT key, bool_or(total - intra > test - test_intra) AS pc, bool_or(total > intra) AS ac, bool_or(intra > test_intra) AS pi FROM
  (SELECT key, config_id, count(*) AS total, count(*) FILTER (NOT external) AS intra, count(*) FILTER (test) AS test, count(*) FILTER (test AND NOT external) AS test_intra FROM e GROUP BY ALL) GROUP BY key)"""
 
@@ -61,14 +61,14 @@ def distinct_edges(spark, d):
     return usage.distinct_edges(li, ["l_orderkey", "l_suppkey"], ["l_linenumber", "l_partkey"])
 
 
-@query("""WITH r AS (SELECT l_orderkey AS key, bool_or(l_linestatus = 'O') AS p, min(CASE WHEN l_linestatus <> 'O' THEN 1 END) AS saver FROM lineitem WHERE l_quantity > 45 GROUP BY 1)
+@query("""WITH r AS (SELECT l_orderkey AS key, bool_or(l_linestatus = 'O') AS p, min(CASE WHEN l_linestatus <> 'O' THEN 1 END) AS saver FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS key, CASE WHEN p IS NULL THEN 'lead' WHEN p THEN 'primary' ELSE 'retired' END AS verdict, CASE WHEN NOT p THEN saver END AS saver FROM orders LEFT JOIN r ON o_orderkey = key""")
 def union_verdict(spark, d):
     r = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), F.when(F.col("l_linestatus") == "O", 0).otherwise(1).alias("config_ord"))
     return usage.union_verdict(t(spark, d, "orders").select(F.col("o_orderkey").alias("key")), r)
 
 
-@query("SELECT p_brand AS crate, min(l_linenumber) AS covering_ord FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_discount > 0.08 GROUP BY 1")
+@query("SELECT p_brand AS crate, min(l_linenumber) AS covering_ord FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def covering_config(spark, d):
     li = t(spark, d, "lineitem").select("l_partkey", "l_linenumber")
     j = li.join(t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("crate")), "l_partkey")
@@ -97,10 +97,10 @@ def private_orphans(spark, d):
     return usage.private_orphans(e, gone)
 
 
-@query("""WITH g AS (SELECT l_linestatus AS config_id, l_suppkey AS module, bool_and(p_size <= 45) AS x FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 48 GROUP BY ALL)
+@query("""WITH g AS (SELECT l_linestatus AS config_id, l_orderkey AS module, bool_and(p_size <= 45) AS x FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
 SELECT config_id, module FROM g WHERE x""")
 def emptied_modules(spark, d):
-    kids = t(spark, d, "lineitem").select(F.col("l_linestatus").alias("config_id"), F.col("l_suppkey").alias("module"), F.col("l_partkey").alias("key"))
+    kids = t(spark, d, "lineitem").select(F.col("l_linestatus").alias("config_id"), F.col("l_orderkey").alias("module"), F.col("l_partkey").alias("key"))
     return usage.emptied_modules(kids, t(spark, d, "part").where("p_size <= 45").select(F.col("p_partkey").alias("key")))
 
 
@@ -288,12 +288,18 @@ def page_refs(spark, d):
     return t(spark, d, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).cast("long").alias("n_refs"))
 
 
-@query("""WITH i AS (SELECT DISTINCT l_suppkey AS member, p_brand AS name, p_size AS version FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49 AND l_tax > 0.07),
-a AS (SELECT name, count(DISTINCT version) = 1 AS agree FROM i GROUP BY 1) SELECT member, name, version, agree AND name <> 'Brand#11' AS seed FROM i JOIN a USING (name)""")
+@query("""WITH i AS (SELECT DISTINCT l_suppkey AS member, l_orderkey AS name, l_linestatus AS version, l_returnflag <> 'R' AS df FROM lineitem WHERE l_linenumber <> 7),
+a AS (SELECT name, count(DISTINCT (version, df)) = 1 AS agree FROM i GROUP BY 1), w AS (SELECT o_orderkey AS k FROM orders WHERE o_orderpriority LIKE '1%')
+SELECT member, name, version, name IN (SELECT k FROM w) AS shared, agree AND name NOT IN (SELECT k FROM w) AS seed FROM i JOIN a USING (name)""")
 def centralized_deps(spark, d):
-    j = t(spark, d, "lineitem").join(t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    deps = j.select(F.col("l_suppkey").alias("member"), F.col("p_brand").alias("name"), F.col("p_size").alias("version"), F.lit(True).alias("default_features"), F.lit(False).alias("uses_workspace"), F.lit(False).alias("is_path")).distinct()
-    return verdicts.centralized(deps, spark.range(1).select(F.lit("Brand#11").alias("name"))).select("member", "name", "version", "seed")
+    """Suppliers as members that ask for orders; line 7 takes the workspace's version, urgent orders are shared."""
+    li = t(spark, d, "lineitem")
+    deps = li.select(
+        F.col("l_suppkey").alias("member"), F.col("l_orderkey").alias("name"), F.col("l_linestatus").alias("version"), (F.col("l_returnflag") != "R").alias("default_features"),
+        (F.col("l_linenumber") == 7).alias("uses_workspace"), F.lit(False).alias("is_path"),
+    ).distinct()
+    shared = t(spark, d, "orders").where(F.col("o_orderpriority").startswith("1")).select(F.col("o_orderkey").alias("name"))
+    return verdicts.centralized(deps, shared).select("member", "name", "version", "shared", "seed")
 
 
 @query("""SELECT c_custkey, CASE WHEN n_nationkey <= 12 THEN r_name || '::' || n_name ELSE r_name END AS module FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")

@@ -73,17 +73,15 @@ def test_union_verdict_leads_only_orders_without_lines(spark):
     assert found(spark, "union_verdict") == rows(["key", "verdict", "saver"], [(o["o_orderkey"], *verdict(o["o_orderkey"])) for o in table("orders")])
 
 
-def parts(*columns):
-    return {p["p_partkey"]: tuple(p[c] for c in columns) for p in table("part")}
-
-
 def test_centralized_deps_are_those_of_all_lines(spark):
-    part = parts("p_brand", "p_size")
-    deps = {(x["l_suppkey"], *part[x["l_partkey"]]) for x in table("lineitem")}
+    deps = {(x["l_suppkey"], x["l_orderkey"], x["l_linestatus"], x["l_returnflag"] != "R") for x in table("lineitem") if x["l_linenumber"] != 7}
+    urgent = {o["o_orderkey"] for o in table("orders") if o["o_orderpriority"].startswith("1")}
     versions = {}
-    for _, name, version in deps:
-        versions.setdefault(name, set()).add(version)
-    assert found(spark, "centralized_deps") == rows(["member", "name", "version", "seed"], [(m, n, v, len(versions[n]) == 1 and n != "Brand#11") for m, n, v in deps])
+    for _, name, version, plain in deps:
+        versions.setdefault(name, set()).add((version, plain))
+    want = [(m, n, v, n in urgent, len(versions[n]) == 1 and n not in urgent) for m, n, v, _ in deps]
+    assert {x[3:] for x in want} == {(True, False), (False, True), (False, False)}
+    assert found(spark, "centralized_deps") == rows(["member", "name", "version", "shared", "seed"], want)
 
 
 def write(d, lines, part):
@@ -99,7 +97,5 @@ def test_outcomes_of_lines_of_small_quantity(spark, tmp_path):
         tmp_path, [(1, 1, 1, 7, "O"), (1, 2, 2, 7, "O"), (2, 3, 2, 7, "F"), (2, 2, 3, 8, "O"), (3, 1, 1, 8, "O"), (3, 4, 4, 8, "F")],
         [(1, "Brand#12", 5), (2, "Brand#13", 9), (3, "Brand#13", 50), (4, "Brand#14", 45)],
     )
-    assert found(spark, "emptied_modules", d) == rows(["config_id", "module"], [("O", 7), ("F", 7), ("F", 8)])
+    assert found(spark, "emptied_modules", d) == rows(["config_id", "module"], [("O", 1), ("F", 2), ("O", 3), ("F", 3)])
     assert found(spark, "covering_config", d) == rows(["crate", "covering_ord"], [("Brand#12", 1), ("Brand#13", 2), ("Brand#14", 4)])
-    seeds = [(7, "Brand#12", 5, True), (8, "Brand#12", 5, True), (7, "Brand#13", 9, False), (8, "Brand#13", 50, False), (8, "Brand#14", 45, True)]
-    assert found(spark, "centralized_deps", d) == rows(["member", "name", "version", "seed"], seeds)
