@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 
+#: A node with more than one in so many of all links is a hub; there are at most twice as many hubs.
+HUBS = 64
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
     """(doc_id, component_id) of every linked document; component_id is its smallest member.
 
     Alternating large-star and small-star steps: each node is hung under the smallest neighbour until
-    every component is one star. Minima are aggregated before they are joined back, so a node with a
-    third of all links needs no single task. Each step is checkpointed to the shared folder.
+    every component is one star. Minima are combined before the shuffle. They are joined back by node, but
+    for hubs, whose links alone could fill a task: a hub has more than 1 / HUBS of all links, so there
+    are at most 2 * HUBS of them, and their minima are broadcast. Each step is checkpointed to the shared folder.
+    Null ids, loops and repeated links change nothing.
     """
     X.ensure_checkpoint_dir(links.sparkSession)
     e = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct().checkpoint()
@@ -26,8 +31,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
             )
         before = sign
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        hubs = [tuple(r) for r in least.where(F.col("n") > sign[0] // HUBS).select("u", "m").collect()]  # 2 * HUBS rows at most
+        hub = F.broadcast(links.sparkSession.createDataFrame(hubs, "u long, m long"))
+        up = both.where("v > u")
+        large = up.join(hub, "u", "left_anti").join(least.select("u", "m"), "u").unionByName(up.join(hub, "u"))
+        large = large.select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(down, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         e = small.unionByName(down.select("hi", F.col("m").alias("lo"))).distinct().checkpoint()

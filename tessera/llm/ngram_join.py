@@ -13,19 +13,20 @@ also probe each higher band whose sizes can still link with theirs.
 Equal segments are combined twice: within a batch of documents, which sends its smallest document for
 each segment, and across batches. Both times a spanning forest of the documents that share segments goes
 out (not all pairs), and its components are groups: linked documents always lie in one group. A group is
-dealt in tiles of bounded size, each pair of tiles to a task, so most texts are sent once. A task compares
-whole sketches, verifies pairs whose Hamming distance allows a link on their sets, skips pairs that links
-found before join already, and emits a forest of links.
+dealt to tiles of bounded documents and bytes, so a text is sent once. The task of a tile compares whole
+sketches, verifies pairs whose Hamming distance allows a link on their sets, skips pairs that links found
+before join already, and emits a forest of links: never pairs, never a text for a pair.
 
-Groups beyond `most_tiles` tiles are thinned first: pairs of the forest are compared by sketch and verified on texts, and only
-segments whose documents still lie in several components stay open. What is left of such a group is dealt
-in tiles of sketches as a whole or segment by segment, whichever sends fewer rows, and close pairs are
-verified on texts. No pair that could join two
-components is left out in either way.
+A group of one tile is done then. Larger ones are dealt anew `SWEEPS` times by other hashes; near copies end in
+one component after that. What is left are segments whose documents still lie in several components: these
+documents are dealt once more, as a whole or segment by segment (whichever sends fewer rows), in all pairs of
+tiles. So no pair that could join two components is left out at any size of a group.
 
 Rules: words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a text of fewer words than a shingle is one
 shingle; null and empty texts have none and link with nothing; documents with null doc_id link with
-nothing and have a null component. Extra columns are ignored.
+nothing and have a null component. Rows that share a doc_id are one node: what links with either text
+links with both, and each row has its own n_shingles. Ties are no matter, since links and smallest ids
+need no order. A very long text fills a tile of its own. Empty tables give empty results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,11 +46,14 @@ BAND_RATIO = 1.3
 PARTS = 3
 #: One more group for so many groups.
 SPARE = 8
-#: Documents, and bytes of their texts, of one tile; larger groups are dealt as pairs of tiles.
+#: Documents, and bytes of their texts, of one tile.
 TILE = 4096
-TILE_BYTES = 8 << 20
-#: Groups of more tiles are thinned before they are dealt.
-MOST_TILES = 8
+TILE_BYTES = 4 << 20
+#: Dealings of a group of several tiles, before pairs of tiles are compared.
+SWEEPS = 2
+#: Bytes of texts whose segments are combined at once.
+BATCH_BYTES = 8 << 20
+NO_ID = np.iinfo(np.int64).min
 #: Bits a shingle of the sketches compared in tiles; wide ones lose few flips to collisions.
 SHARP = 8
 #: They are compared folded to this part of their width first.
@@ -197,19 +201,20 @@ def stars(keys: np.ndarray, ids: np.ndarray):
 
 
 def sketch(width: int, num: int, den: int, n_buckets: int):
-    """Batches of documents to packed rows: segments by key range; copies, candidates and members at once."""
+    """Batches of documents to packed rows: segments by key range; sizes, copies, candidates and members at once."""
 
     def work(batches):
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            ids = t["doc_id"].to_numpy()
+            ids = t["doc_id"].fill_null(NO_ID).to_numpy()
             texts = V.Texts.of(t["text"])
-            keys, who = [], []
-            for i, j in V.slices(texts, 4 << 20):
+            keys, who, size = [], [], 0
+            for i, j in V.slices(texts, BATCH_BYTES // 4):
                 s = Sets(V.part(texts, i, j), width)
                 own = ids[i:j]
+                yield row(-1, "size", b"", own, s.sizes)
                 d1, d2 = s.digests()
-                live = np.flatnonzero(s.sizes > 0)
+                live = np.flatnonzero((s.sizes > 0) & (own != NO_ID))
                 by = live[np.lexsort((own[live], d2[live], d1[live]))]
                 head = np.r_[True, (d1[by][1:] != d1[by][:-1]) | (d2[by][1:] != d2[by][:-1])] if len(by) else np.zeros(0, bool)
                 first = by[head]
@@ -219,16 +224,22 @@ def sketch(width: int, num: int, den: int, n_buckets: int):
                 k, r = segment_keys(s, first, num, den)
                 keys.append(k)
                 who.append(own[r])
-            if not keys:
-                continue
-            k, d, a, b, mk, md = stars(np.concatenate(keys), np.concatenate(who))
-            if len(a):
-                yield row(-1, "pair", b"", a, b)
-                yield row(-1, "member", X.pack(mk), md, md[:0])
-            bucket = X.range_of(k, n_buckets)
-            at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(k) else np.zeros(0, int)
-            for x, y in zip(at, np.r_[at[1:], len(k)], strict=False):
-                yield row(int(bucket[x]), "segment", X.pack(k[x:y]), d[x:y], d[:0])
+                size += int(texts.offsets[j] - texts.offsets[i])
+                if size >= BATCH_BYTES:
+                    yield from combined(keys, who)
+                    keys, who, size = [], [], 0
+            if keys:
+                yield from combined(keys, who)
+
+    def combined(keys: list, who: list):
+        k, d, a, b, mk, md = stars(np.concatenate(keys), np.concatenate(who))
+        if len(a):
+            yield row(-1, "pair", b"", a, b)
+            yield row(-1, "member", X.pack(mk), md, md[:0])
+        bucket = X.range_of(k, n_buckets)
+        at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(k) else np.zeros(0, int)
+        for x, y in zip(at, np.r_[at[1:], len(k)], strict=False):
+            yield row(int(bucket[x]), "segment", X.pack(k[x:y]), d[x:y], d[:0])
 
     def row(bucket: int, kind: str, keys: bytes, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict(
@@ -265,24 +276,8 @@ def unpack(kind: str):
                 x = wide(a)
                 y = X.u64(k).view(np.int64) if kind == "member" else wide(b)
                 for i in range(0, len(x), 50_000):
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(x[i : i + 50_000]), "b": pa.array(y[i : i + 50_000])})
-
-    return work
-
-
-def verify(width: int, num: int, den: int):
-    """Pairs with both texts: those that link."""
-
-    def work(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                t = pa.Table.from_batches([batch.slice(i, 512)])
-                left, right = (_sets(t[c], width) for c in ("ta", "tb"))
-                ok = []
-                for x, y in zip(left, right, strict=True):
-                    both = len(x) + len(y) - len(np.union1d(x, y)) if len(x) and len(y) else 0
-                    ok.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
-                yield from t.select(["a", "b"]).filter(pa.array(ok)).to_batches()
+                    part = x[i : i + 50_000]
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(part, mask=part == NO_ID), "b": pa.array(y[i : i + 50_000])})
 
     return work
 
@@ -325,30 +320,13 @@ def link_tile(width: int, num: int, den: int):
     return work
 
 
-def close_tile(num: int, den: int):
-    """As link_tile, on rows with n and bits: pairs between different components whose sketches allow a link."""
-
-    def work(table: pa.Table) -> pa.Table:
-        table = table.sort_by("key")
-        key, ids, c, t, n = (table[x].to_numpy() for x in ("key", "doc_id", "c", "t", "n"))
-        raw = table["bits"].to_pylist()
-        cross = table["x"][0].as_py() != table["y"][0].as_py()
-        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        found = set()
-        for i, j in zip(at, np.r_[at[1:], len(key)], strict=True):
-            found.update((min(p), max(p)) for p in _links(raw[i:j], n[i:j], ids[i:j], c[i:j], t[i:j], cross, num, den))
-        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
-
-    return work
-
-
-def _links(raw: list[bytes], n, ids, c, t, cross: bool, num: int, den: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """With sets, a forest of links of one group, and c, the component of each document, follows them; else all close pairs."""
+def _links(raw: list[bytes], n, ids, c, t, cross: bool, num: int, den: int, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A forest of links of one group; c, the component of each document, follows them."""
     width = np.array([len(x) for x in raw])
-    if sets is not None:
-        values, place = np.unique(np.concatenate(sets), return_inverse=True)
-        place = np.split(place, np.cumsum(n)[:-1])
-        mark = np.zeros(len(values), bool)
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    place = np.split(place.astype(np.int32), np.cumsum(n)[:-1])
+    mark = np.zeros(len(values), bool)
+    del values
     found = []
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
@@ -374,9 +352,6 @@ def _links(raw: list[bytes], n, ids, c, t, cross: bool, num: int, den: int, sets
             other = o[j]
             if not len(other):
                 continue
-            if sets is None:
-                found += [(int(ids[me]), int(k)) for k in ids[other]]
-                continue
             mark[place[me]] = True
             for x in range(0, len(other), 128):
                 some = other[x : x + 128]
@@ -392,126 +367,102 @@ def _links(raw: list[bytes], n, ids, c, t, cross: bool, num: int, den: int, sets
     return found
 
 
-def tiled(rows: DataFrame, n_buckets: int, work) -> DataFrame:
-    """work on rows (key, doc_id, c, nt and what it reads), the documents of a key being dealt to nt tiles."""
-    tiles = rows.withColumn("t", F.pmod(F.xxhash64("doc_id"), F.col("nt")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nt") - 1)))
-    # groups of one tile share a task by a hash of the key; each pair of tiles of a larger one has its own
+def tiled(rows: DataFrame, n_buckets: int, work, seed: int | None = None) -> DataFrame:
+    """work on rows (key, doc_id, c, nt and text), the documents of a key being dealt to nt tiles by a hash with `seed`.
+
+    Without a seed every two tiles of a key meet in a task of their own.
+    """
+    tiles = rows.withColumn("t", F.pmod(F.xxhash64("doc_id", F.lit(seed or 0)), F.col("nt")).cast("int"))
+    others = F.sequence(F.lit(0), F.col("nt") - 1)
+    tiles = tiles.withColumn("o", F.explode(others)) if seed is None else tiles.withColumn("o", F.col("t"))
+    # groups of one tile share a task by a hash of the key; each tile of a larger one has its own
     bundle = F.when(F.col("nt") == 1, F.pmod(F.xxhash64("key"), F.lit(n_buckets))).otherwise(F.col("key"))
     tiles = tiles.withColumns({"bundle": bundle, "x": F.least("t", "o"), "y": F.greatest("t", "o")}).drop("o", "nt")
     return tiles.groupBy("bundle", "x", "y").applyInArrow(work, "a long, b long")
 
 
-def sketches(width: int):
-    """(doc_id, n, bits): size of the set and parity sketch of each document."""
+def tiles_of(count, size, tile: int):
+    return F.ceil(F.greatest(count / tile, size / TILE_BYTES, F.lit(1.0))).cast("int")
 
-    def work(batches):
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            texts = V.Texts.of(t["text"])
-            for i, j in V.slices(texts, 4 << 20):
-                s = Sets(V.part(texts, i, j), width)
-                bits = [parity(s.of(k)) for k in range(j - i)]
-                yield from pa.table({"doc_id": t["doc_id"].slice(i, j - i), "n": pa.array(s.sizes, pa.int64()), "bits": pa.array(bits, pa.binary())}).to_batches()
 
-    return work
+def segments(docs: DataFrame, width: int, threshold: tuple[int, int], doc_id: str, text: str, home: str) -> DataFrame:
+    """The packed rows of all batches and, by range of keys, of their meeting: sizes, links (copies), pairs and members."""
+    n_buckets = buckets(docs, text)
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = own.mapInArrow(sketch(width, *threshold, n_buckets), "bucket int, kind string, keys binary, a binary, b binary")
+    # what a batch knows by itself passes the reducer as it is, under a range of its own
+    spread = rows.withColumn("bucket", F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("a"), F.lit(n_buckets)).cast("int")).otherwise(F.col("bucket")))
 
+    def settle(table: pa.Table) -> pa.Table:
+        return meet(table) if table["bucket"][0].as_py() >= 0 else table.select(["kind", "keys", "a", "b"])
 
-def close_pairs(num: int, den: int):
-    """Pairs with both sketches: those whose sketches and sizes allow a link."""
+    spread.groupBy("bucket").applyInArrow(settle, FOUND).write.partitionBy("kind").parquet(f"{home}/found")
+    return docs.sparkSession.read.schema("keys binary, a binary, b binary, kind string").parquet(f"{home}/found")
 
-    def work(batches):
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            ok = []
-            for n, m, p, q in zip(*(t[x].to_pylist() for x in ("na", "nb", "ba", "bb")), strict=True):
-                p, q = sorted((np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)), key=len)
-                near = den * min(n, m) >= num * max(n, m) > 0
-                if near and len(q) > len(p):
-                    q = q[: len(p)] ^ q[len(p) :]
-                ok.append(bool(near) and (den + num) * int(np.bitwise_count(p ^ q).sum(dtype=np.int64)) <= (den - num) * (n + m))
-            yield from t.select(["a", "b"]).filter(pa.array(ok, pa.bool_())).to_batches()
 
-    return work
+def buckets(docs: DataFrame, text: str) -> int:
+    return max(64, X.text_bytes(docs, text) // (8 << 20))
 
 
-def linked(pairs: DataFrame, cand: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    ta = cand.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    tb = cand.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(verify(width, num, den), "a long, b long")
+def pick(found: DataFrame, kind: str) -> DataFrame:
+    """(a, b) of one kind of packed rows."""
+    return found.where(F.col("kind") == kind).select("keys", "a", "b").mapInArrow(unpack(kind), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text", tile: int = TILE, most_tiles: int = MOST_TILES) -> DataFrame:
+def linked(docs: DataFrame, found: DataFrame, width: int, threshold: tuple[int, int], doc_id: str, text: str, home: str, tile: int) -> DataFrame:
     """(doc_id, component_id) of every document that is linked to another one."""
     spark = docs.sparkSession
     num, den = threshold
-    home = X.shared_dir(spark)
     X.ensure_checkpoint_dir(spark)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col(doc_id).isNotNull())
-    n_buckets = max(64, X.text_bytes(docs, text) // (8 << 20))
-    rows = own.mapInArrow(sketch(width, num, den, n_buckets), "bucket int, kind string, keys binary, a binary, b binary")
-    # copies, candidates and members of a batch pass the reducer as they are, under a range of their own
-    spread = rows.withColumn("bucket", F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("a"), F.lit(n_buckets)).cast("int")).otherwise(F.col("bucket")))
-
-    def settle(table: pa.Table) -> pa.Table:
-        return meet(table) if table["bucket"][0].as_py() >= 0 else table.select(["kind", "keys", "a", "b"])
-
-    spread.groupBy("bucket").applyInArrow(settle, FOUND).write.partitionBy("kind").parquet(f"{home}/found")
-    found = spark.read.schema("keys binary, a binary, b binary, kind string").parquet(f"{home}/found")
-    pick = lambda kind, f: found.where(F.col("kind") == kind).select("keys", "a", "b").mapInArrow(unpack(f), "a long, b long")
-    copies = pick("link", "pair")
-    pairs = pick("pair", "pair").distinct().checkpoint()
-    group = components(pairs).withColumnRenamed("component_id", "key").checkpoint()
+    n_buckets = buckets(docs, text)
+    group = components(pick(found, "pair").distinct()).withColumnRenamed("component_id", "key").checkpoint()
     length = own.select("doc_id", F.octet_length("text").alias("size"))
-    tiles_of = lambda g, size: F.ceil(F.greatest(g / tile, size / TILE_BYTES, F.lit(1.0))).cast("int")
     sizes = length.join(group, "doc_id").groupBy("key").agg(F.count("*").alias("g"), F.sum("size").alias("size"))
-    plan = group.join(sizes.select("key", tiles_of(F.col("g"), F.col("size")).alias("nt"), (F.col("size") / F.col("g")).alias("mean")), "key").checkpoint()
-    small_ = plan.where(F.col("nt") <= most_tiles).select("doc_id", "key", F.col("doc_id").alias("c"), "nt")
-    tiled(own.join(small_, "doc_id"), n_buckets, link_tile(width, num, den)).write.parquet(f"{home}/links")
-    links = spark.read.schema("a long, b long").parquet(f"{home}/links").unionByName(copies)
-    large = plan.where(F.col("nt") > most_tiles).select("doc_id", F.col("key").alias("cluster"), "mean")
+    plan = group.join(sizes.select("key", tiles_of(F.col("g"), F.col("size"), tile).alias("nt"), (F.col("size") / F.col("g")).alias("mean")), "key").checkpoint()
+    links, n_found = pick(found, "link"), 0
+
+    def compare(rows: DataFrame, seed: int | None) -> None:
+        nonlocal links, n_found
+        path = f"{home}/links-{n_found}"
+        tiled(own.join(rows, "doc_id"), n_buckets, link_tile(width, num, den), seed).write.parquet(path)
+        links, n_found = links.unionByName(spark.read.schema("a long, b long").parquet(path)), n_found + 1
+
+    compare(plan.select("doc_id", "key", F.col("doc_id").alias("c"), "nt"), 0)
+    large = plan.where("nt > 1").drop("c")
     if not large.limit(1).count():
         return components(links).checkpoint()
-    # pairs of the forest first; then segments whose documents are not yet of one component
-    own.join(large, "doc_id", "left_semi").mapInArrow(sketches(width), "doc_id long, n long, bits binary").write.parquet(f"{home}/sketches")
-    sketch_of = spark.read.schema("doc_id long, n long, bits binary").parquet(f"{home}/sketches")
-    sa, sb = (sketch_of.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"b{x}")) for x in "ab")
-    near = pairs.join(sa, "a").join(sb, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(close_pairs(num, den), "a long, b long").checkpoint()
-    linked(near, own, width, num, den).write.parquet(f"{home}/forest")
-    links = links.unionByName(spark.read.schema("a long, b long").parquet(f"{home}/forest"))
+    for seed in range(1, SWEEPS):
+        label = components(links).checkpoint()
+        compare(large.join(label, "doc_id", "left").select("doc_id", "key", F.coalesce("component_id", "doc_id").alias("c"), "nt"), seed)
     label = components(links).checkpoint()
-    big = large.join(label, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("c"))
-    named = pick("member", "member").select(F.col("a").alias("doc_id"), F.col("b").alias("key")).join(big, "doc_id")
+    big = large.join(label, "doc_id", "left").select("doc_id", F.col("key").alias("cluster"), "mean", F.coalesce("component_id", "doc_id").alias("c"))
+    named = pick(found, "member").select(F.col("a").alias("doc_id"), F.col("b").alias("key")).join(big, "doc_id")
     unsettled = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    left = named.join(unsettled, "key", "left_semi").distinct().join(large, "doc_id").checkpoint()
-    open_keys = left.groupBy("key").agg(F.count("*").alias("g")).withColumn("nk", tiles_of(F.col("g"), F.lit(0.0)))
-    left = left.join(open_keys, "key")
+    left = named.join(unsettled, "key", "left_semi").distinct().checkpoint()
+    of_key = left.groupBy("key").agg(F.count("*").alias("g")).withColumn("nk", tiles_of(F.col("g"), F.lit(0.0), tile))
+    left = left.join(of_key, "key")
     cost = left.groupBy("cluster").agg(F.sum("nk").alias("by_key"), F.count_distinct("doc_id").alias("m"))
-    cost = cost.withColumn("nm", tiles_of(F.col("m"), F.lit(0.0))).select("cluster", "m", (F.col("m") * F.col("nm") <= F.col("by_key")).alias("whole"))
+    cost = cost.withColumn("nm", tiles_of(F.col("m"), F.lit(0.0), tile)).select("cluster", "m", (F.col("m") * F.col("nm") <= F.col("by_key")).alias("whole"))
     left = left.join(cost, "cluster")
-    as_tiles = lambda n: tiles_of(F.col(n), F.col(n) * F.col("mean") / 2).alias("nt")
+    as_tiles = lambda n: tiles_of(F.col(n), F.col(n) * F.col("mean"), tile).alias("nt")
     deal = left.where("whole").select(F.col("cluster").alias("key"), "doc_id", "c", as_tiles("m")).distinct()
-    deal = deal.unionByName(left.where("not whole").select("key", "doc_id", "c", as_tiles("g")))
-    close = tiled(sketch_of.join(deal, "doc_id"), n_buckets, close_tile(num, den)).distinct().join(near, ["a", "b"], "left_anti").checkpoint()
-    linked(close, own, width, num, den).write.parquet(f"{home}/more")
-    return components(links.unionByName(spark.read.schema("a long, b long").parquet(f"{home}/more"))).checkpoint()
+    compare(deal.unionByName(left.where("not whole").select("key", "doc_id", "c", as_tiles("g"))), None)
+    return components(links).checkpoint()
 
 
-def shingle_counts(width: int):
-    def work(batches):
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            texts = V.Texts.of(t["text"])
-            for i, j in V.slices(texts, 4 << 20):
-                s = Sets(V.part(texts, i, j), width)
-                yield from pa.table({"doc_id": t["doc_id"].slice(i, j - i), "n_shingles": pa.array(s.sizes, pa.int64())}).to_batches()
-
-    return work
+def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
+    """(doc_id, component_id) of every document that is linked to another one."""
+    home = X.shared_dir(docs.sparkSession)
+    return linked(docs, segments(docs, width, threshold, doc_id, text, home), width, threshold, doc_id, text, home, tile)
 
 
-def ngram_join(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text", **tiles) -> DataFrame:
+def ngram_join(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    label = jaccard_components(docs, width, threshold, doc_id, text, **tiles)
-    sizes = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(shingle_counts(width), "doc_id long, n_shingles long")
+    home = X.shared_dir(docs.sparkSession)
+    found = segments(docs, width, threshold, doc_id, text, home)
+    label = linked(docs, found, width, threshold, doc_id, text, home, tile)
+    sizes = pick(found, "size").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
     return sizes.join(label, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
