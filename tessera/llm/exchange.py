@@ -27,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     """A folder for one run under spark.checkpoint.dir, which driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "file:///tmp/checkpoints/tessera"  # only where the cluster names none, as in tests
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file:///tmp/checkpoints/tessera"  # one machine, as in tests
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
@@ -43,6 +45,14 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it, that no column of df has (in any case of letters)."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def blocks_for(size: int, block_bytes: int = BLOCK_BYTES) -> int:
     return max(MIN_BLOCKS, -(-size // block_bytes))
 

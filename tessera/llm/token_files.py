@@ -3,15 +3,18 @@
 Format of a data set under one folder: for each partition `<name>.bin` holds token ids as little-endian
 uint16, or uint32 where the vocabulary has more than 65,536 ids; `<name>.idx` holds int64 values: the
 number of documents n, n doc_ids, and n + 1 offsets in tokens. Partitions are ranges of doc_id; the base
-of a partition is the prefix sum of the token counts before it, kept in the manifest. Files are written
-under another name and renamed, so a lost executor's half-written file is never read.
+of a partition is the prefix sum of the token counts before it. The manifest is a Parquet table in the
+same folder, one row a partition with its base, made by running sums within chunks of partitions and over the chunks'
+totals; the driver sees none of it. Files are written under another name and renamed, so a lost executor's
+half-written file is never read, and the manifest names one file for each partition.
 
 The encoder cuts a byte-level text where its pre-tokeniser always cuts, hashes the pieces, encodes each
 distinct piece once with the tokenizers library and gathers ids by piece. Texts with white space beyond
 ASCII are encoded whole.
 
-Rules: null texts are empty; each document ends with `end_id`; null doc_ids come first; equal doc_ids
-stand in any order beside each other. Extra columns are ignored.
+Rules: null texts are empty; each document, empty ones too, ends with `end_id`; null doc_ids come first; rows that share a
+doc_id stand beside each other in the order of their texts (all in one partition). A very long text is encoded in one
+piece. An empty table gives no files and an empty index. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,15 +22,17 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import exchange as X
 from . import textvec as V
+from .files import get, put
 
 NULL_ID = np.iinfo(np.int64).min
 CACHE_PIECES = 400_000
@@ -149,42 +154,16 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def filesystem(uri: str):
-    """(file system, path, local?) of a folder that all executors see."""
-    from pyarrow import fs
+MANIFEST = "part int, name string, low long, n_docs long, n_tokens long, width int, base long"
+CHUNK = 1024
 
-    kind = urlparse(uri).scheme
-    if kind in ("", "file"):
-        return fs.LocalFileSystem(), urlparse(uri).path, True
-    found, path = fs.FileSystem.from_uri(uri)
-    return found, path, False
 
-
-def put(uri: str, name: str, *parts: bytes | np.ndarray) -> None:
-    store, path, _ = filesystem(uri)
-    store.create_dir(path, recursive=True)
-    with store.open_output_stream(f"{path}/.{name}") as f:
-        for x in parts:
-            f.write(x if isinstance(x, bytes) else memoryview(np.ascontiguousarray(x)).cast("B"))
-    store.move(f"{path}/.{name}", f"{path}/{name}")
-
-
-def get(uri: str, name: str, dtype) -> np.ndarray:
-    """A file as an array; memory-mapped where the folder is mounted."""
-    store, path, local = filesystem(uri)
-    if local:
-        at = f"{path}/{name}"
-        return np.memmap(at, dtype=dtype, mode="r") if os.path.getsize(at) else np.zeros(0, dtype)
-    with store.open_input_file(f"{path}/{name}") as f:
-        return np.frombuffer(f.read(), dtype)
-
-
-def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> list[tuple]:
-    """Write the data set and return its manifest: (name, n_docs, n_tokens, base), in order of doc_id."""
+def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> None:
+    """Write the data set with its manifest (part, name, low, n_docs, n_tokens, width, base; parts in order of doc_id)."""
     size = X.text_bytes(docs, text)
     n = max(16, -(-size // PARTITION_BYTES))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
 
     def work(batches):
         enc = encoder(tokenizer)
@@ -207,34 +186,39 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int, doc_id:
             name = f"part-{uuid.uuid4().hex}"
             put(out, f"{name}.bin", *body)
             put(out, f"{name}.idx", np.array([n_docs], "<i8"), np.concatenate(ids), np.concatenate(offsets))
-            yield pa.RecordBatch.from_pydict({"name": [name], "low": pa.array([int(ids[0][0])], pa.int64()), "high": pa.array([int(ids[-1][-1])], pa.int64()), "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([base], pa.int64()), "width": pa.array([kind.itemsize], pa.int32())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "name": [name], "low": pa.array([int(ids[0][0])], pa.int64()), "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([base], pa.int64()), "width": pa.array([kind.itemsize], pa.int32())})
 
-    parts = rows.mapInArrow(work, "name string, low long, high long, n_docs long, n_tokens long, width int").collect()  # one row a partition
-    base, manifest = 0, []
-    for r in sorted(parts, key=lambda r: (r.low, r.high)):
-        manifest.append((r.name, r.n_docs, r.n_tokens, base, r.width))
-        base += r.n_tokens
-    return manifest
+    written = rows.mapInArrow(work, "part int, name string, low long, n_docs long, n_tokens long, width int")
+    written.write.mode("overwrite").parquet(f"{out}/parts")
+    parts = docs.sparkSession.read.schema("part int, name string, low long, n_docs long, n_tokens long, width int").parquet(f"{out}/parts")
+    chunk = F.floor(F.col("part") / CHUNK)
+    before = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = parts.groupBy(chunk.alias("chunk")).agg(F.sum("n_tokens").alias("n"))  # one row for each CHUNK partitions
+    chunks = chunks.select("chunk", F.coalesce(F.sum("n").over(before([], "chunk")), F.lit(0)).alias("start"))
+    based = parts.withColumn("chunk", chunk).withColumn("inner", F.coalesce(F.sum("n_tokens").over(before(["chunk"], "part")), F.lit(0))).join(chunks, "chunk")
+    based.select("part", "name", "low", "n_docs", "n_tokens", "width", (F.col("start") + F.col("inner")).alias("base")).write.mode("overwrite").parquet(f"{out}/manifest")
 
 
-def read_tokens(spark: SparkSession, out: str, manifest: list[tuple]) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
-    rows = spark.createDataFrame(manifest or [("", 0, 0, 0, 2)], "name string, n_docs long, n_tokens long, base long, width int").where("n_docs > 0")
+def read_tokens(spark: SparkSession, out: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files that the manifest names."""
+    rows = spark.read.schema(MANIFEST).parquet(f"{out}/manifest").select("name", "n_docs", "base", "width")
 
     def work(batches):
         for batch in batches:
-            for name, n, _, base, width in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for name, n, base, width in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 head = get(out, f"{name}.idx", "<i8")
                 ids, offset = head[1 : n + 1], head[n + 1 :]
                 body = get(out, f"{name}.bin", f"<u{width}")
                 crc = [zlib.crc32(body[a:b].astype("<u4").tobytes()) for a, b in zip(offset[:-1], offset[1:], strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(np.array(ids), mask=np.array(ids) == NULL_ID), "start": pa.array(offset[:-1] + base), "n_tokens": pa.array(np.diff(offset)), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return rows.repartition(max(1, len(manifest)), "name").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n_parts = max(1, rows.count())
+    return rows.repartition(n_parts, "name").mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, out: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write docs as token files and return their index, read back from the files."""
     spark = docs.sparkSession
     out = out or X.shared_dir(spark)
-    return read_tokens(spark, out, write_tokens(docs, out, tokenizer, end_id, doc_id, text))
+    write_tokens(docs, out, tokenizer, end_id, doc_id, text)
+    return read_tokens(spark, out)
