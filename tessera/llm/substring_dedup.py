@@ -10,7 +10,9 @@ and the smallest document holding each is found by an owner exchange.
 Rules: a word is removed if some window of `window` consecutive words covering it also starts in a
 document with a smaller doc_id. Windows are judged on the input. Null texts have no words; texts
 shorter than a window lose nothing; a null doc_id counts as larger than any other; rows with equal
-doc_id don't remove each other's words. Extra columns are ignored, so their names can't clash.
+doc_id don't remove each other's words. Ties can't arise: the smallest doc_id keeps a window wherever it stands. A very
+long text is a block of its own; an empty table gives no rows. Extra columns are ignored, so their names can't clash.
+Windows compare 128 bits between blocks; an answer names a window of a block by the first 64 of them.
 """
 
 from __future__ import annotations
@@ -103,15 +105,20 @@ def send_windows(anchors, window: int, n_buckets: int):
         own_keys, _, several = V.owners(keys, b.doc[at])
         hit = V.member(keys, shared) | V.member(keys, own_keys[several])
         starts = np.flatnonzero(near_anchor(b, at[hit], k, window))
-        h1, h2 = (V.window_hash(b.hash(s), window, s)[starts] for s in (0, 1))
-        by = np.lexsort((b.doc[starts], h2, h1))
-        h1, h2, own = h1[by], h2[by], b.doc[starts][by]
-        head = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])] if len(h1) else np.zeros(0, bool)
-        return X.sent_rows(X.p_of(table), h1[head], own[head], n_buckets, h2[head])
+        return distinct_windows(b, starts, window, X.p_of(table), n_buckets)
 
     return work
 
 
+def distinct_windows(b: Block, starts: np.ndarray, window: int, p: int, n_buckets: int) -> pa.Table:
+    """The distinct windows at `starts` by key range, each with its smallest document."""
+    h1, h2 = (V.window_hash(b.hash(s), window, s)[starts] for s in (0, 1))
+    by = np.lexsort((b.doc[starts], h2, h1))
+    h1, h2, own = h1[by], h2[by], b.doc[starts][by]
+    head = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])] if len(h1) else np.zeros(0, bool)
+    return X.sent_rows(p, h1[head], own[head], n_buckets, h2[head])
+
+
 def seen_before(b: Block, answer: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Step C: mask of windows that start in a smaller document too, and the smallest owner of each window."""
     fits = np.flatnonzero(V.window_starts(b.words.first, window, b.n))
