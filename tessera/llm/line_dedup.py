@@ -1,21 +1,30 @@
 """Line dedup (operator 8): levelled sorted runs of line hashes, merge-anti-joined by each new batch.
 
-An index holds runs: Parquet folders with, for each range of keys, the sorted 128-bit hashes of line
-keys and the document that holds each first. A new batch of documents is hashed, its own repeats
-settled, and merge-anti-joined with the runs; the keys no run knows become a new run of level 0. When
+An index is a folder of runs and a manifest. A run holds, in one file for each range of keys, sorted 128-bit
+hashes of line keys and the document that holds each first. A new batch of documents is hashed and sorted;
+each range is merged with the files of its own range in every run (binary search of one sorted list in the
+other: runs are never shuffled or sorted again), and the keys that no run knows become a new run of level 0. When
 `fanout` runs stand on a level they are merged into one of the next level, so n batches leave
-O(fanout * log n) runs. Runs are never changed in place: a failed batch leaves the index as it was.
+O(fanout * log n) runs.
+
+Runs are never changed in place, every attempt writes under new names, and the manifest is replaced as a whole
+when all is written: a failed batch leaves the index as it was and can be given again, and `LineIndex` on
+the same folder goes on where the last one stopped, with the parameters in the manifest.
 
 Rules: a line's key is the line with white space [\\x20\\x09-\\x0D] stripped at both ends and A-Z
 lower-cased. A key of `min_chars` code points or more loses its lines in all documents but the one
 that came first: of an earlier batch or, within a batch, of the smallest doc_id (null: the largest).
-Null or empty text is one empty line. Lines repeated within the keeping document stay. Extra columns
-are ignored.
+Rows that share a doc_id keep each other's lines within a batch. Null or empty text is one empty line. Lines
+repeated within the keeping document stay. A very long text is a block of its own. An empty table gives no rows
+and leaves the index as it is. Extra columns are ignored. Runs compare 128 bits; the answer to a block
+names a key by the first 64 of them, which are unique among the keys of a block but for a chance of n * n / 2**65.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from functools import reduce as fold
 
 import numpy as np
@@ -25,10 +34,11 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 from . import textvec as V
+from .files import exists, get, put
 from .substring_dedup import NO_ID, ids_of
 
-RUN = "bucket int, keys binary, own binary"
-STEP = "kind string, bucket int, p int, keys binary, own binary"
+MANIFEST = "manifest.json"
+EARLIER = np.iinfo(np.int64).min  # holder of keys that an earlier batch had
 
 
 class Lines:
@@ -91,90 +101,127 @@ def send(n_buckets: int):
     return work
 
 
-def merged(h1: np.ndarray, h2: np.ndarray, own: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """Order by key, then by `prior` and owner; with the heads of equal keys marked."""
-    by = np.lexsort((own, prior, h2, h1))
-    a, b = h1[by], h2[by]
-    return by, np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(by) else np.zeros(0, bool)
-
-
-def run_row(bucket: int, h1: np.ndarray, h2: np.ndarray, own: np.ndarray) -> dict:
-    return {"bucket": [bucket], "keys": [X.pack(h1) + X.pack(h2)], "own": [X.pack(own)]}
-
-
-def settle(sent: pa.Table, runs: pa.Table) -> pa.Table:
-    """Merge-anti-join of a batch's keys of one range with the runs: answers to blocks, and a new run."""
-    if not sent.num_rows:
-        return pa.table({"kind": pa.array([], pa.string()), "bucket": pa.array([], pa.int32()), "p": pa.array([], pa.int32()), "keys": pa.array([], pa.binary()), "own": pa.array([], pa.binary())})
-    bucket, ps = sent["bucket"][0].as_py(), sent["p"].to_numpy()
-    h1, h2, own, who = X.gather(sent)
-    k1, k2, old, _ = X.gather(runs) if runs.num_rows else (h1[:0], h2[:0], own[:0], who[:0])
-    a1, a2, o = np.r_[k1, h1], np.r_[k2, h2], np.r_[old, own]
-    new = np.r_[np.zeros(len(k1), bool), np.ones(len(h1), bool)]
-    by, head = merged(a1, a2, o, new)
-    group = np.cumsum(head) - 1
-    first = by[np.flatnonzero(head)]
-    keep = first[new[first]]
-    lose = np.zeros(len(a1), bool)
-    lose[by] = new[by] & ((o[by] > o[first][group]) | ~new[first][group])
-    late = np.flatnonzero(lose)[np.argsort(who[np.flatnonzero(lose) - len(k1)], kind="stable")] if lose.any() else np.zeros(0, np.int64)
-    w = who[late - len(k1)]
-    at = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]) if len(w) else np.zeros(0, int)
-    holder = np.zeros(len(a1), np.int64)
-    holder[by] = np.where(new[first], o[first], -1)[group]  # -1: an earlier batch holds it
-    out = [("answer", int(ps[w[i]]), X.pack(a1[late[i:j]]), X.pack(holder[late[i:j]])) for i, j in zip(at, np.r_[at[1:], len(w)], strict=False)]
-    if len(keep):
-        out.append(("run", -1, X.pack(a1[keep]) + X.pack(a2[keep]), X.pack(o[keep])))
-    return pa.table({"kind": [x[0] for x in out], "bucket": pa.array([bucket] * len(out), pa.int32()), "p": pa.array([x[1] for x in out], pa.int32()), "keys": pa.array([x[2] for x in out], pa.binary()), "own": pa.array([x[3] for x in out], pa.binary())}) if out else settle(sent.slice(0, 0), runs)
-
-
-def compact(table: pa.Table) -> pa.Table:
-    """One sorted run of a key range from several; the runs hold disjoint keys."""
-    h1, h2, own, _ = X.gather(table)
-    by, head = merged(h1, h2, own, np.zeros(len(h1)))
-    by = by[head]
-    return pa.table(run_row(table["bucket"][0].as_py(), h1[by], h2[by], own[by]), schema=pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("own", pa.binary())]))
+def lookup(run: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Which of the sorted keys (h1, h2) a run holds."""
+    n = len(run) // 3
+    r1, r2 = run[:n], run[n : 2 * n]
+    at = np.searchsorted(r1, h1)
+    found, todo = np.zeros(len(h1), bool), np.arange(len(h1))
+    while len(todo):  # past keys that share the first half only
+        todo = todo[at[todo] < n]
+        todo = todo[r1[at[todo]] == h1[todo]]
+        same = r2[at[todo]] == h2[todo]
+        found[todo[same]] = True
+        todo = todo[~same]
+        at[todo] += 1
+    return found
+
+
+def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One sorted run from two that hold no key in common."""
+    a, b = a.reshape(3, -1), b.reshape(3, -1)
+    out = np.empty((3, a.shape[1] + b.shape[1]), np.uint64)
+    at = np.searchsorted(a[0], b[0]) + np.arange(b.shape[1])
+    rest = np.ones(out.shape[1], bool)
+    rest[at] = False
+    out[:, at], out[:, rest] = b, a
+    return out.ravel()
+
+
+def run_of(folder: str, bucket: int) -> np.ndarray:
+    """h1, h2 and owners (as bits) of a range; a run without such a file holds none."""
+    return get(folder, f"{bucket}.run", "<u8") if exists(folder, f"{bucket}.run") else np.zeros(0, np.uint64)
+
+
+def settle(runs: list[str], new: str):
+    """Merge-anti-join of a batch's keys of one range with the runs: answers to blocks; the rest is written to the run `new`."""
+
+    def work(sent: pa.Table) -> pa.Table:
+        bucket, ps = sent["bucket"][0].as_py(), sent["p"].to_numpy()
+        h1, h2, own, who = X.gather(sent)
+        by = np.lexsort((own, h2, h1))
+        h1, h2, own, who = h1[by], h2[by], own[by], who[by]
+        head = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
+        group = np.cumsum(head) - 1
+        k1, k2, first = h1[head], h2[head], own[head]
+        known = np.zeros(len(k1), bool)
+        for folder in runs:
+            left = np.flatnonzero(~known)
+            known[left] = lookup(run_of(folder, bucket), k1[left], k2[left])
+        fresh = ~known
+        put(new, f"{bucket}.run", k1[fresh].astype("<u8"), k2[fresh].astype("<u8"), first[fresh].astype("<i8"))
+        holder = np.where(known, EARLIER, first)[group]
+        late = np.flatnonzero(known[group] | (own > first[group]))
+        late = late[np.argsort(who[late], kind="stable")]
+        w = who[late]
+        at = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]) if len(w) else np.zeros(0, int)
+        ends = np.r_[at[1:], len(w)]
+        return pa.table(
+            {
+                "p": pa.array([int(ps[w[i]]) for i in at], pa.int32()),
+                "keys": pa.array([X.pack(h1[late[i:j]]) for i, j in zip(at, ends, strict=False)], pa.binary()),
+                "own": pa.array([X.pack(holder[late[i:j]]) for i, j in zip(at, ends, strict=False)], pa.binary()),
+            }
+        )
+
+    return work
+
+
+def compacted(runs: list[str], to: str):
+    """Ranges to one row each, when their files of all runs are merged into one."""
+
+    def work(batches):
+        for batch in batches:
+            for bucket in batch.column(0).to_pylist():
+                each = sorted((run_of(x, bucket) for x in runs), key=len)
+                put(to, f"{bucket}.run", fold(merge, each).astype("<u8"))
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int64())})
+
+    return work
 
 
 class LineIndex:
-    """Levelled runs under `path`. `levels[i]` lists the folders of level i."""
+    """Levelled runs under `path`; `levels[i]` lists the runs of level i. A manifest there is taken up, with its parameters."""
 
     def __init__(self, spark: SparkSession, path: str, n_buckets: int = 64, fanout: int = 3, min_chars: int = 10):
-        self.spark, self.path, self.n_buckets, self.fanout, self.min_chars = spark, path, n_buckets, fanout, min_chars
+        self.spark, self.path = spark, path
+        self.n_buckets, self.fanout, self.min_chars = n_buckets, fanout, min_chars
         self.levels: list[list[str]] = [[]]
-        self.n = 0
+        if exists(path, MANIFEST):
+            self.__dict__.update(json.loads(get(path, MANIFEST, np.uint8).tobytes()))
+
+    def _commit(self, levels: list[list[str]]) -> None:
+        put(self.path, MANIFEST, json.dumps({"levels": levels, "n_buckets": self.n_buckets, "fanout": self.fanout, "min_chars": self.min_chars}).encode())
+        self.levels = levels
 
-    def runs(self) -> DataFrame:
-        paths = [p for level in self.levels for p in level]
-        read = self.spark.read.schema(RUN)
-        some = read.parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
-        return some.select("bucket", F.lit(-1).alias("p"), "keys", "own")
+    def runs(self) -> list[str]:
+        return [f"{self.path}/{x}" for level in self.levels for x in level]
 
     def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_blocks: int | None = None, keep_text: bool = True) -> DataFrame:
         """Settle one batch against the index, add its run, and return its documents without repeated lines."""
         n_blocks = n_blocks or X.blocks_for(X.text_bytes(docs, text))
         blocks = X.dealt(docs, doc_id, text, n_blocks)
         sent = hashed(blocks, self.min_chars).groupBy("p").applyInArrow(send(self.n_buckets), X.SENT)
-        step = f"{self.path}/batch-{self.n}"
-        sent.groupBy("bucket").cogroup(self.runs().groupBy("bucket")).applyInArrow(settle, STEP).write.partitionBy("kind").parquet(step)
-        self.n += 1
-        answer = self.spark.read.schema("bucket int, p int, keys binary, own binary, kind string").parquet(step)
-        if answer.where("kind = 'run'").limit(1).count():
-            self.levels[0].append(f"{step}/kind=run")
+        name = f"run-{uuid.uuid4().hex}"
+        step = f"{self.path}/answers-{name}"
+        sent.groupBy("bucket").applyInArrow(settle(self.runs(), f"{self.path}/{name}"), X.ANSWER).write.parquet(step)
+        self._commit([[*self.levels[0], name], *self.levels[1:]])
         self._compact()
-        return cut(blocks, answer.where("kind = 'answer'").select("p", "keys", "own"), self.min_chars, keep_text)
+        return cut(blocks, self.spark.read.schema(X.ANSWER).parquet(step), self.min_chars, keep_text)
 
     def _compact(self) -> None:
-        for i, level in enumerate(self.levels):
+        i = 0
+        while i < len(self.levels):
+            level = self.levels[i]
             if len(level) >= self.fanout:
-                to = f"{self.path}/level-{i + 1}-{self.n}"
-                self.spark.read.schema(RUN).parquet(*level).groupBy("bucket").applyInArrow(compact, RUN).write.parquet(to)
-                old, self.levels[i] = level, []
-                if i + 1 == len(self.levels):
-                    self.levels.append([])
-                self.levels[i + 1].append(to)
-                for p in old:
-                    X.remove(self.spark, p)
+                name = f"run-{uuid.uuid4().hex}"
+                ranges = self.spark.range(0, self.n_buckets, 1, self.n_buckets)
+                ranges.mapInArrow(compacted([f"{self.path}/{x}" for x in level], f"{self.path}/{name}"), "bucket long").count()
+                above = self.levels[i + 1] if i + 1 < len(self.levels) else []
+                self._commit([*self.levels[:i], [], [*above, name], *self.levels[i + 2 :]])
+                for x in level:
+                    X.remove(self.spark, f"{self.path}/{x}")
+            i += 1
 
 
 def cut(blocks: DataFrame, answer: DataFrame, min_chars: int, keep_text: bool) -> DataFrame:
@@ -190,7 +237,7 @@ def cut(blocks: DataFrame, answer: DataFrame, min_chars: int, keep_text: bool) -
             at = np.searchsorted(keys, away)
             at[at == len(keys)] = 0
             same = keys[at] == away
-            np.minimum.at(own, at[same], np.where(holder[same] < 0, np.iinfo(np.int64).min, holder[same]))
+            np.minimum.at(own, at[same], holder[same])
         gone = np.zeros(len(x.start), bool)
         if len(live):
             gone[live] = own[np.searchsorted(keys, x.h1[live])] < ids[x.doc[live]]
