@@ -2,16 +2,19 @@
 
 A source's target is its share, by weight, of a budget; targets stop at `most` times the source's size
 and the excess goes to the others. A document is then worth c = target / source size copies: the whole
-part is certain and the fraction is rounded. Pivotal rounding takes two fractional documents and moves
-mass between them, up or down at random so that expectations hold, until one is integral; mass is moved
-in words, so the sum of words is kept exactly. Documents are dealt to blocks of a source; each block ends
-with one fractional document at most, and these residuals meet in a tree of `fanout`, level by level,
-until one a source is left, which is rounded alone. Randomness is a hash of seed and doc_id: reruns agree.
+part is certain and the fraction is rounded. Pivotal rounding pairs the longest open document of a block with
+the shorter ones taken together and moves mass between the two sides, up or down at random so that expectations hold,
+until the long one is integral; mass is moved in words, dealt evenly to the shorter ones, so the sum of words is
+kept exactly. What stays open at the end of a block is its shortest document alone. These residuals meet in a
+tree of `fanout`, level by level, until one a source is left, which is rounded alone: a source misses its
+target by about the size of its shortest documents, and by more only where a few long ones hold most of its
+words. Randomness is a hash of seed, doc_id and text: reruns agree.
 
 Rules: size is the number of words [^\\x20\\x09-\\x0D]+ (null text: 0). Documents without words take 0.
-Null sources are one source, ranked last. Sources without words have target 0. Repeated ids are rounded
-row by row; `mix_documents`, which joins by doc_id, gives all rows of one id the copies of the largest.
-Extra columns are ignored.
+Null sources are one source, ranked last. Sources without words have target 0. Rows that share a doc_id are rounded
+row by row; those equal in doc_id, source and text share a block and can trade places. Documents of
+equal size are ordered by their hash. A very long text is one document as any other. An empty table gives an
+empty result. Extra columns are ignored by `mix` and kept by `mix_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,19 +27,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .exchange import ensure_checkpoint_dir
+from .exchange import ensure_checkpoint_dir, free_name
 from .textvec import mix64
 
 BLOCK_DOCS = 1000
 FANOUT = 1000
-ROW = "rank int, block long, doc_id long, size long, whole int, p double, extra int"
+ROW = "rank int, block long, doc_id long, h long, size long, whole int, p double, extra int"
+
+
+def row_key(doc_id: str, text: str, source: str):
+    """The same for rows equal in all three."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(source).cast("string"), F.col(text))
 
 
 def sized(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     # runs of characters that are not white space, each become one mark
     runs = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[^\\x20\\x09-\\x0D]+", "x")
     size = F.length(F.regexp_replace(runs, "[\\x20\\x09-\\x0D]+", "")).cast("long")
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), row_key(doc_id, text, source).alias("h"), size.alias("size"))
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...], share: Fraction, most: int) -> DataFrame:
@@ -58,65 +66,49 @@ def targets(rows: DataFrame, weights: tuple[int, ...], share: Fraction, most: in
     return src.select("source", "rank", "n", "source_size", target.alias("target"))
 
 
-def pivot(size: np.ndarray, p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, int]:
-    """Rounded p (0 or 1 each), and the place of the one that stays fractional (-1: none)."""
-    size, p, u = size.astype(float).tolist(), p.tolist(), u.tolist()
-    out = np.zeros(len(p), dtype=np.int32)
-    eps = 1e-12
-    a = -1
-    for b in range(len(p)):
-        if p[b] <= eps or p[b] >= 1 - eps:
-            out[b] = p[b] > 0.5
-            continue
-        if a < 0:
-            a = b
-            continue
-        up = min((1 - p[a]) * size[a], p[b] * size[b])
-        down = min(p[a] * size[a], (1 - p[b]) * size[b])
-        x = up if u[b] * (up + down) < down else -down
-        p[a] += x / size[a]
-        p[b] -= x / size[b]
-        open_ = []
-        for i in (a, b):
-            if p[i] <= eps or p[i] >= 1 - eps:
-                out[i] = p[i] > 0.5
-            else:
-                open_.append(i)
-        a = open_[0] if open_ else -1
-    if a >= 0:
-        p[a] = min(max(p[a], 0.0), 1.0)
-        out[a] = -1
-    return out, a, (p[a] if a >= 0 else 0.0)
-
-
-def unit(ids: np.ndarray, seed: int) -> np.ndarray:
-    """A number in [0, 1) for each id."""
-    h = mix64(mix64(ids.astype(np.int64).view(np.uint64) + np.uint64(seed)))
+def pivot(size: np.ndarray, p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, float]:
+    """Rounded p (0 or 1 each) of all but the last, and the last one's fraction. From long to short.
+
+    A document that is rounded up takes the words it lacks evenly from all that follow, and one rounded down
+    gives its words to them: their fractions move by `shift`, beyond 0 and 1 where a long one holds most words.
+    """
+    out, shift = np.zeros(len(p), np.int32), 0.0
+    rest = float(size.sum())
+    for i, (n, q, x) in enumerate(zip(size.tolist(), p.tolist(), u.tolist(), strict=True)):
+        q += shift
+        rest -= n
+        if i == len(p) - 1:
+            return out, q
+        taken = x < q
+        out[i] = taken
+        shift += (q - taken) * n / rest
+    return out, 0.0
+
+
+def unit(keys: np.ndarray, seed: int) -> np.ndarray:
+    """A number in [0, 1) for each key."""
+    h = mix64(mix64(keys.view(np.uint64) + np.uint64(seed)))
     return (h >> np.uint64(11)).astype(float) / (1 << 53)
 
 
 def round_block(seed: int, last: bool):
     def work(table: pa.Table) -> pa.Table:
-        ids = table["doc_id"].fill_null(-1).to_numpy()
-        # from long to short: neighbours settle each other, and what stays open at the end is short
-        by = np.lexsort((unit(ids, seed), -table["size"].to_numpy()))
-        t = table.take(pa.array(by))
-        u = unit(ids[by], seed + 1)
-        extra, at, p = pivot(t["size"].to_numpy(), t["p"].to_numpy().copy(), u)
-        new = t["p"].to_numpy().copy()
-        if at >= 0:
-            new[at] = p
-            if last:
-                extra[at] = int(unit(ids[by][at : at + 1], seed + 2)[0] < p)
-        mask = extra < 0
-        cols = {c: t[c] for c in ("rank", "block", "doc_id", "size", "whole")}
-        return pa.table({**cols, "p": pa.array(new), "extra": pa.array(extra, mask=mask)})
+        key = np.ascontiguousarray(table["h"].to_numpy())
+        by = np.lexsort((key, unit(key, seed), -table["size"].to_numpy()))
+        t, key = table.take(pa.array(by)), key[by]
+        extra, p = pivot(t["size"].to_numpy(), t["p"].to_numpy(), unit(key, seed + 1))
+        open_ = np.arange(len(key)) == len(key) - 1
+        if last:
+            extra[-1] = unit(key[-1:], seed + 2)[0] < p
+        new = np.where(open_, p, t["p"].to_numpy())
+        cols = {c: t[c] for c in ("rank", "block", "doc_id", "h", "size", "whole")}
+        return pa.table({**cols, "p": pa.array(new), "extra": pa.array(extra, mask=open_ & (not last))})
 
     return work
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 42, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document."""
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 42, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """doc_id, h, size, source_size, target, copies of every row."""
     ensure_checkpoint_dir(docs.sparkSession)
     rows = sized(docs, doc_id, text, source).checkpoint()
     src = targets(rows, weights, share, most).checkpoint()
@@ -125,7 +117,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: Fraction =
     whole = F.floor(F.col("c") + 1e-12).cast("int")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_DOCS))
     state = dealt.where("size > 0").select(
-        "rank", F.pmod(F.xxhash64("doc_id", "size"), blocks).alias("block"), "doc_id", "size", whole.alias("whole"), F.greatest(F.col("c") - whole, F.lit(0.0)).alias("p"), F.lit(None).cast("int").alias("extra")
+        "rank", F.pmod("h", blocks).alias("block"), "doc_id", "h", "size", whole.alias("whole"), F.greatest(F.col("c") - whole, F.lit(0.0)).alias("p"), F.lit(None).cast("int").alias("extra")
     )
     n_blocks = src.agg(F.max(F.ceil(F.col("n") / BLOCK_DOCS))).first()[0] or 1
     settled = []
@@ -142,14 +134,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: Fraction =
     out = settled[0]
     for x in settled[1:]:
         out = out.unionByName(x)
-    kept = out.select("doc_id", "rank", "size", ((F.col("whole") + F.col("extra")) * F.col("size")).cast("long").alias("taken"))
-    none = dealt.where("size = 0").select("doc_id", "rank", "size", F.lit(0).cast("long").alias("taken"))
-    return kept.unionByName(none).join(src.select("rank", "source_size", "target"), "rank").select("doc_id", "size", "source_size", "target", "taken")
+    kept = out.select("doc_id", "h", "rank", "size", (F.col("whole") + F.col("extra")).alias("copies"))
+    none = dealt.where("size = 0").select("doc_id", "h", "rank", "size", F.lit(0).alias("copies"))
+    return kept.unionByName(none).join(src.select("rank", "source_size", "target"), "rank").select("doc_id", "h", "size", "source_size", "target", "copies")
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document; `how` as for `mixed`."""
+    return mixed(docs, **how).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The mixed corpus: each document as often as the mix takes it."""
-    taken = mix(docs, doc_id=doc_id, text=text, source=source, **how)
-    copies = taken.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)).cast("int").alias("_n")).where("_n > 0")
-    joined = docs.join(copies, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    """The mixed corpus: each row as often as the mix takes it."""
+    h, n, k, i = (free_name(docs, x) for x in ("_h", "_n", "_k", "_i"))
+    rows = mixed(docs, doc_id=doc_id, text=text, source=source, **how)
+    # rows equal in all three are told apart by their place among each other
+    copies = rows.groupBy(F.col("h").alias(h)).agg(F.sort_array(F.collect_list("copies"), asc=False).alias(n)).where(F.get(n, F.lit(0)) > 0)
+    keyed = docs.withColumn(h, row_key(doc_id, text, source))
+    placed = keyed.withColumn(k, F.row_number().over(Window.partitionBy(h).orderBy(h)) - 1).join(copies, h).withColumn(n, F.get(n, F.col(k)))
+    return placed.where(F.col(n) > 0).withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
