@@ -7,13 +7,16 @@ windows by a 128-bit hash. A value packs 40 bits of a gram's hash with 24 bits o
 minimum yields both. Items shorter than a window are one window of their own length; for each such length
 that occurs, all grams of that length are compared.
 
-The items' tables are broadcast only when their counted rows stay under BROADCAST_ROWS; larger ones are
-joined by shuffle. Only matches, never texts, are shuffled.
+The items' tables are broadcast only when their counted bytes stay under BROADCAST_BYTES. Larger ones are
+joined by shuffle: fingerprints go out as (document, place), and what matches comes back to the texts, which are
+shuffled once. The two halves of the 128-bit hash start from different states, so neither follows from the other.
 
-Rules: A-Z is lower-cased and words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+. Null texts have no words;
+Rules: A-Z is lower-cased and words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+. Null and empty texts have no words;
 items without words match nothing, repeated item rows count once, null item_ids never match. Rows that
-share a doc_id with equal texts are judged alike; nothing else is joined by doc_id but the matches of a
-document. Extra columns are ignored.
+share a doc_id are told apart by their texts, and those with equal texts are judged alike; null doc_ids are ids like
+others. A very long text costs as many fingerprints as it has; places beyond 2**24 words are taken modulo that and all
+are compared. An empty table of documents gives no rows, one of items no hits. Extra columns are ignored, and kept
+by `drop_contaminated` whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ import string
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import ensure_checkpoint_dir, free_name
+
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 MASK = (1 << 24) - 1
 
 
@@ -33,8 +38,9 @@ def with_words(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("words", F.filter(F.split(low, NOT_WORD), lambda w: w != ""))
 
 
-def _gram(at: str, k: int, seed: str = "") -> str:
-    return f"xxhash64({', '.join(f'get(words, {at} + {j})' for j in range(k))}{seed})"
+def _gram(at: str, k: int, salt: str = "") -> str:
+    """A hash of k words; a salt comes first, since each argument is hashed onto the state that those before it left."""
+    return f"xxhash64({salt}{', '.join(f'get(words, {at} + {j})' for j in range(k))})"
 
 
 def fingerprints(df: DataFrame, window: int, k: int) -> DataFrame:
@@ -46,55 +52,60 @@ def fingerprints(df: DataFrame, window: int, k: int) -> DataFrame:
     return rows.withColumn("fp", F.expr(kept)).drop("v")
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if its counted rows are few."""
+def _sized(df: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """df, marked for broadcast if its counted bytes are few, and whether it is."""
     df = df.checkpoint()
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) + 16 if t == "string" else F.lit(16)) for c, t in df.dtypes)
+    small = (df.agg(F.sum(width)).first()[0] or 0) <= most
+    return (F.broadcast(df) if small else df), small
 
 
 def item_windows(items: DataFrame, window: int, item_id: str, text: str) -> DataFrame:
     """(item_id, len, h1, h2) of every window of every item."""
     rows = with_words(items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), F.col(text).alias("text")), "text")
     long = rows.where(F.size("words") >= window).withColumn("i", F.explode(F.expr(f"sequence(0, size(words) - {window})")))
-    long = long.select("item_id", F.lit(window).alias("len"), F.expr(_gram("i", window)).alias("h1"), F.expr(_gram("i", window, ", 1")).alias("h2"))
+    long = long.select("item_id", F.lit(window).alias("len"), F.expr(_gram("i", window)).alias("h1"), F.expr(_gram("i", window, "1, ")).alias("h2"))
     found = long
     for n in range(1, window):
         part = rows.where(F.size("words") == n)
-        found = found.unionByName(part.select("item_id", F.lit(n).alias("len"), F.expr(_gram("0", n)).alias("h1"), F.expr(_gram("0", n, ", 1")).alias("h2")))
+        found = found.unionByName(part.select("item_id", F.lit(n).alias("len"), F.expr(_gram("0", n)).alias("h1"), F.expr(_gram("0", n, "1, ")).alias("h2")))
     return found.distinct()
 
 
-def matches(docs: DataFrame, items: DataFrame, window: int, k: int, item_id: str, text: str) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, window: int, k: int, item_id: str, text: str, most: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, h, start, len, item_id) of every occurrence of an item's window; h hashes the text."""
-    from .exchange import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(docs.sparkSession)
     bench = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
-    windows = _sized(item_windows(bench, window, "item_id", "text"))
+    windows, _ = _sized(item_windows(bench, window, "item_id", "text"), most)
     marks = fingerprints(with_words(bench, "text"), window, k).select(F.explode_outer("fp").alias("f")).select(F.shiftrightunsigned("f", 24).alias("mark")).where("mark is not null").distinct()
-    marks = _sized(marks)
+    marks, small = _sized(marks, most)
     rows = with_words(docs, "text").select("doc_id", F.xxhash64("text").alias("h"), "words")
     # explode_outer: explode would have its array tested for emptiness below, computing it a second time
-    seen = fingerprints(rows, window, k).withColumn("f", F.explode_outer("fp"))
-    seen = seen.withColumn("mark", F.shiftrightunsigned("f", 24)).join(marks, "mark")
+    seen = fingerprints(rows, window, k).withColumn("f", F.explode_outer("fp")).withColumn("mark", F.shiftrightunsigned("f", 24))
+    if small:
+        seen = seen.join(marks, "mark").select("doc_id", "h", "words", "f")
+    else:
+        narrow = seen.select("doc_id", "h", "f", "mark").join(marks, "mark").groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_set("f").alias("fs"))
+        once = rows.dropDuplicates(["doc_id", "h"])
+        seen = once.join(narrow, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))).select("doc_id", "h", "words", F.explode("fs").alias("f"))
     # places congruent to the packed position: one, but in texts of more than 2**24 words
     place = F.explode_outer(F.expr(f"sequence(cast(f & {MASK}L as int), size(words) - {k}, {MASK + 1})"))
     seen = seen.select("doc_id", "h", "words", place.alias("p"))
     reach = F.explode_outer(F.expr(f"sequence(greatest(p - {window - k}, 0), least(p, size(words) - {window}))"))
     seen = seen.select("doc_id", "h", "words", reach.alias("start"))
-    seen = seen.select("doc_id", "h", "start", F.lit(window).alias("len"), F.expr(_gram("start", window)).alias("h1"), F.expr(_gram("start", window, ", 1")).alias("h2"))
+    seen = seen.select("doc_id", "h", "start", F.lit(window).alias("len"), F.expr(_gram("start", window)).alias("h1"), F.expr(_gram("start", window, "1, ")).alias("h2"))
     found = seen.join(windows, ["len", "h1", "h2"]).select("doc_id", "h", "start", "len", "item_id")
     short = [r[0] for r in windows.where(F.col("len") < window).select("len").distinct().collect()]  # at most window - 1 lengths
     for n in short:
         part = rows.where(F.size("words") >= n).withColumn("start", F.explode(F.expr(f"sequence(0, size(words) - {n})")))
-        part = part.select("doc_id", "h", "start", F.lit(n).alias("len"), F.expr(_gram("start", n)).alias("h1"), F.expr(_gram("start", n, ", 1")).alias("h2"))
+        part = part.select("doc_id", "h", "start", F.lit(n).alias("len"), F.expr(_gram("start", n)).alias("h1"), F.expr(_gram("start", n, "1, ")).alias("h2"))
         found = found.unionByName(part.join(windows.where(F.col("len") == n), ["len", "h1", "h2"]).select("doc_id", "h", "start", "len", "item_id"))
     return found
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int = 8, k: int = 4, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def hits(docs: DataFrame, items: DataFrame, window: int = 8, k: int = 4, item_id: str = "item_id", item_text: str = "text", most: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, h, n_hit, item_ids, longest) of documents with any match; item_ids sorted as strings, longest the widest window hit."""
-    found = matches(docs, items, window, k, item_id, item_text)
+    found = matches(docs, items, window, k, item_id, item_text, most)
     by_doc = found.groupBy("doc_id", "h").agg(
         F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("len")).alias("end")))).alias("spans"),
         F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"),
@@ -106,10 +117,10 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 8, k: int = 4, item_id
     return by_doc.select("doc_id", "h", F.expr(fold).alias("n_hit"), "item_ids", "longest")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, k: int = 4, least_items: int = 2, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, k: int = 4, least_items: int = 2, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = hits(own, items, window, k, item_id, item_text)
+    found = hits(own, items, window, k, item_id, item_text, most)
     counts = with_words(own, "text").select("doc_id", F.xxhash64("text").alias("h"), F.size("words").cast("long").alias("n_words"))
     joined = counts.join(found.withColumnRenamed("doc_id", "_id").withColumnRenamed("h", "_h"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
@@ -131,5 +142,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 8, k: int
     found = hits(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), items, window, k, item_id, item_text)
     if not short_alone:
         found = found.where((F.col("longest") == window) | (F.size("item_ids") > 1))
-    bad = found.where(F.size("item_ids") >= least_items).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"))
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_h")), "left_anti")
+    i, h = free_name(docs, "_id"), free_name(docs, "_h")
+    bad = found.where(F.size("item_ids") >= least_items).select(F.col("doc_id").alias(i), F.col("h").alias(h))
+    return docs.join(bad, docs[doc_id].eqNullSafe(bad[i]) & (F.xxhash64(docs[text]) == bad[h]), "left_anti")
