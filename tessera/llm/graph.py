@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import exchange as X
 
-#: A node with more than one in so many of all links is a hub; there are at most twice as many hubs.
+#: A node with more than one in so many links of the step before is a hub; steps never add links, so there are no more hubs than this.
 HUBS = 64
 
 
@@ -17,25 +17,25 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     Alternating large-star and small-star steps: each node is hung under the smallest neighbour until
     every component is one star. Minima are combined before the shuffle. They are joined back by node, but
     for hubs, whose links alone could fill a task: a hub has more than 1 / HUBS of all links, so there
-    are at most 2 * HUBS of them, and their minima are broadcast. Each step is checkpointed to the shared folder.
+    are at most HUBS of them, and their minima are broadcast. Each step is checkpointed to the shared folder.
     Null ids, loops and repeated links change nothing.
     """
     X.ensure_checkpoint_dir(links.sparkSession)
     e = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct().checkpoint()
-    before = None
+    before, hub_links = None, 0
     for _ in range(most):
-        sign = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if sign == before or not sign[0]:
+        by = e.groupBy("lo").agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h"))
+        n, h, hubs = by.agg(F.sum("n"), F.sum("h"), F.collect_list(F.when(F.col("n") > hub_links, F.col("lo"))) if hub_links else F.array()).first()
+        if (n, h) == before or not n:
             return e.select(F.col("hi").alias("doc_id"), F.col("lo").alias("component_id")).unionByName(
                 e.select(F.col("lo").alias("doc_id"), F.col("lo").alias("component_id")).distinct()
             )
-        before = sign
+        before, hub_links = (n, h), max(n // HUBS, 1)
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
-        hubs = [tuple(r) for r in least.where(F.col("n") > sign[0] // HUBS).select("u", "m").collect()]  # 2 * HUBS rows at most
-        hub = F.broadcast(links.sparkSession.createDataFrame(hubs, "u long, m long"))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        is_hub = F.col("u").isin(hubs)
         up = both.where("v > u")
-        large = up.join(hub, "u", "left_anti").join(least.select("u", "m"), "u").unionByName(up.join(hub, "u"))
+        large = up.where(~is_hub).join(least, "u").unionByName(up.where(is_hub).join(F.broadcast(least.where(is_hub)), "u"))
         large = large.select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(down, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))

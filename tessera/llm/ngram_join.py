@@ -17,10 +17,12 @@ dealt to tiles of bounded documents and bytes, so a text is sent once. The task
 sketches, verifies pairs whose Hamming distance allows a link on their sets, skips pairs that links found
 before join already, and emits a forest of links: never pairs, never a text for a pair.
 
-A group of one tile is done then. Larger ones are dealt anew `SWEEPS` times by other hashes; near copies end in
-one component after that. What is left are segments whose documents still lie in several components: these
-documents are dealt once more, as a whole or segment by segment (whichever sends fewer rows), in all pairs of
-tiles. So no pair that could join two components is left out at any size of a group.
+A group of one tile is done then. Larger ones are dealt `SWEEPS` times by different hashes; near copies end in
+one component after that. The largest component of a group is its core. Every other document of the group still has to
+be compared with all: sketches alone (a sixth of a text) are dealt so that tiles of these documents meet each
+other and the tiles of the core, but no two tiles of the core meet. Pairs of different components whose sketches
+allow a link are close; each component of close pairs is a small group, dealt as texts again and verified. So no
+pair that could join two components is left out at any size of a group.
 
 Rules: words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a text of fewer words than a shingle is one
 shingle; null and empty texts have none and link with nothing; documents with null doc_id link with
@@ -40,7 +42,7 @@ from . import exchange as X
 from . import textvec as V
 from .graph import components
 
-FOUND = "kind string, keys binary, a binary, b binary"
+FOUND = "kind string, a binary, b binary"
 BAND_RATIO = 1.3
 #: Parts of a group; a segment is all of them but one.
 PARTS = 3
@@ -49,8 +51,10 @@ SPARE = 8
 #: Documents, and bytes of their texts, of one tile.
 TILE = 4096
 TILE_BYTES = 4 << 20
-#: Dealings of a group of several tiles, before pairs of tiles are compared.
+#: Dealings of a group of several tiles, before sketches of all its documents are compared.
 SWEEPS = 2
+#: Bytes of texts whose sketches make a tile, which has twice as many documents as one of texts.
+SKETCH_TILE_BYTES = 48 << 20
 #: Bytes of texts whose segments are combined at once.
 BATCH_BYTES = 8 << 20
 NO_ID = np.iinfo(np.int64).min
@@ -185,23 +189,19 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stars(keys: np.ndarray, ids: np.ndarray):
-    """Sorted (keys, smallest id), a forest of pairs (smallest, other), and members of keys with several ids."""
+    """Sorted (keys, smallest id) and a forest of pairs (smallest, other)."""
     by = np.lexsort((ids, keys))
     k, d = keys[by], ids[by]
-    fresh = np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])] if len(k) else np.zeros(0, bool)
-    k, d = k[fresh], d[fresh]
     head = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
-    group = np.cumsum(head) - 1
     at = np.flatnonzero(head)
-    size = np.diff(np.r_[at, len(k)])
-    rest = ~head
-    a, b = forest(d[at][group[rest]], d[rest])
-    many = (size > 1)[group] if len(k) else rest
-    return k[at], d[at], a, b, k[many], d[many]
+    lead = d[at][np.cumsum(head) - 1] if len(k) else d
+    rest = d != lead
+    a, b = forest(lead[rest], d[rest])
+    return k[at], d[at], a, b
 
 
 def sketch(width: int, num: int, den: int, n_buckets: int):
-    """Batches of documents to packed rows: segments by key range; sizes, copies, candidates and members at once."""
+    """Batches of documents to packed rows: segments by key range; sizes, copies and candidates at once."""
 
     def work(batches):
         for batch in batches:
@@ -232,10 +232,9 @@ def sketch(width: int, num: int, den: int, n_buckets: int):
                 yield from combined(keys, who)
 
     def combined(keys: list, who: list):
-        k, d, a, b, mk, md = stars(np.concatenate(keys), np.concatenate(who))
+        k, d, a, b = stars(np.concatenate(keys), np.concatenate(who))
         if len(a):
             yield row(-1, "pair", b"", a, b)
-            yield row(-1, "member", X.pack(mk), md, md[:0])
         bucket = X.range_of(k, n_buckets)
         at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(k) else np.zeros(0, int)
         for x, y in zip(at, np.r_[at[1:], len(k)], strict=False):
@@ -261,25 +260,21 @@ def wide(b: bytes) -> np.ndarray:
 
 
 def meet(table: pa.Table) -> pa.Table:
-    """Segments of one key range from all batches: candidates and members."""
+    """Segments of one key range from all batches: candidates."""
     keys = [X.u64(b) for b in table["keys"].to_pylist()]
     ids = [wide(b) for b in table["a"].to_pylist()]
-    _, _, a, b, mk, md = stars(np.concatenate(keys), np.concatenate(ids))
-    out = [("pair", b"", small(a), small(b)), ("member", X.pack(mk), small(md), small(md[:0]))] if len(a) else []
-    return pa.table({"kind": pa.array([x[0] for x in out], pa.string()), **{c: pa.array([x[i] for x in out], pa.binary()) for i, c in enumerate(("keys", "a", "b"), 1)}})
+    _, _, a, b = stars(np.concatenate(keys), np.concatenate(ids))
+    n = int(len(a) > 0)
+    return pa.table({"kind": pa.array(["pair"] * n, pa.string()), "a": pa.array([small(a)] * n, pa.binary()), "b": pa.array([small(b)] * n, pa.binary())})
 
 
-def unpack(kind: str):
-    def work(batches):
-        for batch in batches:
-            for k, a, b in zip(*(batch.column(c).to_pylist() for c in ("keys", "a", "b")), strict=True):
-                x = wide(a)
-                y = X.u64(k).view(np.int64) if kind == "member" else wide(b)
-                for i in range(0, len(x), 50_000):
-                    part = x[i : i + 50_000]
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(part, mask=part == NO_ID), "b": pa.array(y[i : i + 50_000])})
-
-    return work
+def unpack(batches):
+    for batch in batches:
+        for a, b in zip(*(batch.column(c).to_pylist() for c in ("a", "b")), strict=True):
+            x, y = wide(a), wide(b)
+            for i in range(0, len(x), 50_000):
+                part = x[i : i + 50_000]
+                yield pa.RecordBatch.from_pydict({"a": pa.array(part, mask=part == NO_ID), "b": pa.array(y[i : i + 50_000])})
 
 
 def _sets(column, width: int) -> list[np.ndarray]:
@@ -320,73 +315,108 @@ def link_tile(width: int, num: int, den: int):
     return work
 
 
-def _links(raw: list[bytes], n, ids, c, t, cross: bool, num: int, den: int, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A forest of links of one group; c, the component of each document, follows them."""
+def near(raw: list[bytes], n, c, apart_: np.ndarray | None, num: int, den: int):
+    """For each document, those after it (among sketches as wide, then twice as wide) of other components whose sketches allow a link."""
     width = np.array([len(x) for x in raw])
-    values, place = np.unique(np.concatenate(sets), return_inverse=True)
-    place = np.split(place.astype(np.int32), np.cumsum(n)[:-1])
-    mark = np.zeros(len(values), bool)
-    del values
-    found = []
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
         full = np.frombuffer(b"".join(raw[i] for i in rows), np.uint64).reshape(len(rows), -1)
-        near = np.flatnonzero(width == 2 * w)  # sizes that link differ by less than a factor of two
-        if len(near):
-            big = np.frombuffer(b"".join(raw[i] for i in near), np.uint64).reshape(len(near), -1)
+        more = np.flatnonzero(width == 2 * w)  # sizes that link differ by less than a factor of two
+        if len(more):
+            big = np.frombuffer(b"".join(raw[i] for i in more), np.uint64).reshape(len(more), -1)
             half = big.shape[1] // 2
             full = np.concatenate([full, big[:, :half] ^ big[:, half:]])
         folded = np.bitwise_xor.reduce(full.reshape(len(full), FOLD, -1), 1)
-        at = np.r_[rows, near]
+        at = np.r_[rows, more]
         for i, me in enumerate(rows):
             o = at[i + 1 :]
             ok = (c[o] != c[me]) & (den * np.minimum(n[o], n[me]) >= num * np.maximum(n[o], n[me])) & (n[o] > 0)
-            if cross:
-                ok &= t[o] != t[me]
+            if apart_ is not None:
+                ok &= apart_[o] != apart_[me]
             j = np.flatnonzero(ok)
-            if not len(j):
-                continue
             for x in (folded, full):
-                apart = np.bitwise_count(x[i + 1 + j] ^ x[i]).sum(1, dtype=np.int64)
-                j = j[(den + num) * apart <= (den - num) * (n[o[j]] + n[me])]
-            other = o[j]
-            if not len(other):
+                if not len(j):
+                    break
+                differ = np.bitwise_count(x[i + 1 + j] ^ x[i]).sum(1, dtype=np.int64)
+                j = j[(den + num) * differ <= (den - num) * (n[o[j]] + n[me])]
+            if len(j):
+                yield me, o[j]
+
+
+def _links(raw: list[bytes], n, ids, c, t, cross: bool, num: int, den: int, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A forest of links of one group; c, the component of each document, follows them."""
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    place = np.split(place.astype(np.int32), np.cumsum(n)[:-1])
+    mark = np.zeros(len(values), bool)
+    del values
+    found = []
+    for me, other in near(raw, n, c, t if cross else None, num, den):
+        mark[place[me]] = True
+        for x in range(0, len(other), 128):
+            some = other[x : x + 128]
+            some = some[c[some] != c[me]]
+            if not len(some):
                 continue
-            mark[place[me]] = True
-            for x in range(0, len(other), 128):
-                some = other[x : x + 128]
-                some = some[c[some] != c[me]]
-                if not len(some):
-                    continue
-                both = np.add.reduceat(mark[np.concatenate([place[k] for k in some])].astype(np.int64), np.cumsum(n[some]) - n[some])
-                for k in some[den * both >= num * (n[some] + n[me] - both)]:
-                    if c[k] != c[me]:
-                        found.append((int(ids[me]), int(ids[k])))
-                        c[c == c[k]] = c[me]
-            mark[place[me]] = False
+            both = np.add.reduceat(mark[np.concatenate([place[k] for k in some])].astype(np.int64), np.cumsum(n[some]) - n[some])
+            for k in some[den * both >= num * (n[some] + n[me] - both)]:
+                if c[k] != c[me]:
+                    found.append((int(ids[me]), int(ids[k])))
+                    c[c == c[k]] = c[me]
+        mark[place[me]] = False
     return found
 
 
-def tiled(rows: DataFrame, n_buckets: int, work, seed: int | None = None) -> DataFrame:
-    """work on rows (key, doc_id, c, nt and text), the documents of a key being dealt to nt tiles by a hash with `seed`.
+def close_tile(num: int, den: int):
+    """Two tiles of sketches, or one with itself, to the close pairs of different components."""
+
+    def work(table: pa.Table) -> pa.Table:
+        ids, c, t, n = (table[x].to_numpy() for x in ("doc_id", "c", "t", "n"))
+        cross = table["x"][0].as_py() != table["y"][0].as_py()
+        a, b = [ids[:0]], [ids[:0]]
+        for me, other in near(table["bits"].to_pylist(), n, c, t if cross else None, num, den):
+            a.append(np.full(len(other), ids[me]))
+            b.append(ids[other])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return work
+
+
+def sketches(width: int):
+    """Texts to the size of their set and their sketch; other columns stay."""
+
+    def work(batches):
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            texts = V.Texts.of(t["text"])
+            for i, j in V.slices(texts, 2 << 20):
+                s = Sets(V.part(texts, i, j), width)
+                rows = t.slice(i, j - i).select(["key", "doc_id", "c", "core", "nr", "nc"])
+                rows = rows.append_column("n", pa.array(s.sizes, pa.int64())).append_column("bits", pa.array([parity(s.of(k)) for k in range(j - i)], pa.binary()))
+                yield from rows.to_batches()
+
+    return work
+
+
+def tiled(rows: DataFrame, n_buckets: int, work, dealings: int = 0) -> DataFrame:
+    """work on rows (key, doc_id, c, nt and text), the documents of a key being dealt to nt tiles by a hash, so many times anew.
 
-    Without a seed every two tiles of a key meet in a task of their own.
+    With 0 dealings they are dealt once, and every two tiles of a key meet in a task of their own.
     """
-    tiles = rows.withColumn("t", F.pmod(F.xxhash64("doc_id", F.lit(seed or 0)), F.col("nt")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("nt") - 1)
-    tiles = tiles.withColumn("o", F.explode(others)) if seed is None else tiles.withColumn("o", F.col("t"))
+    tiles = rows.withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(max(1, dealings)))))
+    tiles = tiles.withColumn("t", F.pmod(F.xxhash64("doc_id", "s"), F.col("nt")).cast("int"))
+    tiles = tiles.withColumn("o", F.col("t") if dealings else F.explode(F.sequence(F.lit(0), F.col("nt") - 1)))
     # groups of one tile share a task by a hash of the key; each tile of a larger one has its own
     bundle = F.when(F.col("nt") == 1, F.pmod(F.xxhash64("key"), F.lit(n_buckets))).otherwise(F.col("key"))
     tiles = tiles.withColumns({"bundle": bundle, "x": F.least("t", "o"), "y": F.greatest("t", "o")}).drop("o", "nt")
-    return tiles.groupBy("bundle", "x", "y").applyInArrow(work, "a long, b long")
+    return tiles.groupBy("bundle", "s", "x", "y").applyInArrow(work, "a long, b long")
 
 
-def tiles_of(count, size, tile: int):
-    return F.ceil(F.greatest(count / tile, size / TILE_BYTES, F.lit(1.0))).cast("int")
+def tiles_of(count, size, tile: int, tile_bytes: int):
+    return F.ceil(F.greatest(count / tile, size / tile_bytes, F.lit(1.0))).cast("int")
 
 
 def segments(docs: DataFrame, width: int, threshold: tuple[int, int], doc_id: str, text: str, home: str) -> DataFrame:
-    """The packed rows of all batches and, by range of keys, of their meeting: sizes, links (copies), pairs and members."""
+    """The packed rows of all batches and, by range of keys, of their meeting: sizes, links (copies) and pairs."""
     n_buckets = buckets(docs, text)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = own.mapInArrow(sketch(width, *threshold, n_buckets), "bucket int, kind string, keys binary, a binary, b binary")
@@ -394,10 +424,10 @@ def segments(docs: DataFrame, width: int, threshold: tuple[int, int], doc_id: st
     spread = rows.withColumn("bucket", F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("a"), F.lit(n_buckets)).cast("int")).otherwise(F.col("bucket")))
 
     def settle(table: pa.Table) -> pa.Table:
-        return meet(table) if table["bucket"][0].as_py() >= 0 else table.select(["kind", "keys", "a", "b"])
+        return meet(table) if table["bucket"][0].as_py() >= 0 else table.select(["kind", "a", "b"])
 
     spread.groupBy("bucket").applyInArrow(settle, FOUND).write.partitionBy("kind").parquet(f"{home}/found")
-    return docs.sparkSession.read.schema("keys binary, a binary, b binary, kind string").parquet(f"{home}/found")
+    return docs.sparkSession.read.schema("a binary, b binary, kind string").parquet(f"{home}/found")
 
 
 def buckets(docs: DataFrame, text: str) -> int:
@@ -406,7 +436,7 @@ def buckets(docs: DataFrame, text: str) -> int:
 
 def pick(found: DataFrame, kind: str) -> DataFrame:
     """(a, b) of one kind of packed rows."""
-    return found.where(F.col("kind") == kind).select("keys", "a", "b").mapInArrow(unpack(kind), "a long, b long")
+    return found.where(F.col("kind") == kind).select("a", "b").mapInArrow(unpack, "a long, b long")
 
 
 def linked(docs: DataFrame, found: DataFrame, width: int, threshold: tuple[int, int], doc_id: str, text: str, home: str, tile: int) -> DataFrame:
@@ -419,35 +449,40 @@ def linked(docs: DataFrame, found: DataFrame, width: int, threshold: tuple[int,
     group = components(pick(found, "pair").distinct()).withColumnRenamed("component_id", "key").checkpoint()
     length = own.select("doc_id", F.octet_length("text").alias("size"))
     sizes = length.join(group, "doc_id").groupBy("key").agg(F.count("*").alias("g"), F.sum("size").alias("size"))
-    plan = group.join(sizes.select("key", tiles_of(F.col("g"), F.col("size"), tile).alias("nt"), (F.col("size") / F.col("g")).alias("mean")), "key").checkpoint()
+    plan = group.join(sizes.select("key", tiles_of(F.col("g"), F.col("size"), tile, TILE_BYTES).alias("nt"), (F.col("size") / F.col("g")).alias("mean")), "key").checkpoint()
     links, n_found = pick(found, "link"), 0
 
-    def compare(rows: DataFrame, seed: int | None) -> None:
+    def compare(texts: DataFrame, rows: DataFrame, dealings: int) -> None:
         nonlocal links, n_found
         path = f"{home}/links-{n_found}"
-        tiled(own.join(rows, "doc_id"), n_buckets, link_tile(width, num, den), seed).write.parquet(path)
+        tiled(texts.join(rows, "doc_id"), n_buckets, link_tile(width, num, den), dealings).write.parquet(path)
         links, n_found = links.unionByName(spark.read.schema("a long, b long").parquet(path)), n_found + 1
 
-    compare(plan.select("doc_id", "key", F.col("doc_id").alias("c"), "nt"), 0)
-    large = plan.where("nt > 1").drop("c")
+    compare(own, plan.where("nt = 1").select("doc_id", "key", F.col("doc_id").alias("c"), "nt"), 1)
+    large = plan.where("nt > 1")
     if not large.limit(1).count():
         return components(links).checkpoint()
-    for seed in range(1, SWEEPS):
-        label = components(links).checkpoint()
-        compare(large.join(label, "doc_id", "left").select("doc_id", "key", F.coalesce("component_id", "doc_id").alias("c"), "nt"), seed)
+    # the texts of large groups are written once, and what follows reads them alone
+    own.join(large.select("doc_id"), "doc_id").write.parquet(f"{home}/large")
+    texts = spark.read.schema("doc_id long, text string").parquet(f"{home}/large")
+    compare(texts, large.select("doc_id", "key", F.col("doc_id").alias("c"), "nt"), SWEEPS)
     label = components(links).checkpoint()
-    big = large.join(label, "doc_id", "left").select("doc_id", F.col("key").alias("cluster"), "mean", F.coalesce("component_id", "doc_id").alias("c"))
-    named = pick(found, "member").select(F.col("a").alias("doc_id"), F.col("b").alias("key")).join(big, "doc_id")
-    unsettled = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    left = named.join(unsettled, "key", "left_semi").distinct().checkpoint()
-    of_key = left.groupBy("key").agg(F.count("*").alias("g")).withColumn("nk", tiles_of(F.col("g"), F.lit(0.0), tile))
-    left = left.join(of_key, "key")
-    cost = left.groupBy("cluster").agg(F.sum("nk").alias("by_key"), F.count_distinct("doc_id").alias("m"))
-    cost = cost.withColumn("nm", tiles_of(F.col("m"), F.lit(0.0), tile)).select("cluster", "m", (F.col("m") * F.col("nm") <= F.col("by_key")).alias("whole"))
-    left = left.join(cost, "cluster")
-    as_tiles = lambda n: tiles_of(F.col(n), F.col(n) * F.col("mean"), tile).alias("nt")
-    deal = left.where("whole").select(F.col("cluster").alias("key"), "doc_id", "c", as_tiles("m")).distinct()
-    compare(deal.unionByName(left.where("not whole").select("key", "doc_id", "c", as_tiles("g"))), None)
+    rows = large.join(label, "doc_id", "left").select("doc_id", "key", "mean", F.coalesce("component_id", "doc_id").alias("c"))
+    sizes = rows.groupBy("key", "c").agg(F.count("*").alias("k"), F.max("mean").alias("mean"))
+    of_key = sizes.groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.sum("k").alias("m"), F.max("mean").alias("mean")).where("m > top.k")
+    tiles = lambda k: tiles_of(k, k * F.col("mean"), 2 * tile, SKETCH_TILE_BYTES)
+    of_key = of_key.select("key", F.col("top.c").alias("core_c"), tiles(F.col("m") - F.col("top.k")).alias("nr"), tiles(F.col("top.k")).alias("nc"))
+    dealt = rows.drop("mean").join(of_key, "key").select("doc_id", "key", "c", (F.col("c") == F.col("core_c")).alias("core"), "nr", "nc")
+    drawn = texts.join(dealt, "doc_id").mapInArrow(sketches(width), "key long, doc_id long, c long, core boolean, nr int, nc int, n long, bits binary")
+    pmod = lambda k: F.pmod(F.xxhash64("doc_id"), F.col(k)).cast("int")
+    drawn = drawn.withColumn("t", F.when(F.col("core"), F.col("nr") + pmod("nc")).otherwise(pmod("nr")))
+    drawn = drawn.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nr") - 1 + F.when(F.col("core"), 0).otherwise(F.col("nc")))))
+    drawn = drawn.select("key", "doc_id", "c", "n", "bits", "t", F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"))
+    drawn.groupBy("key", "x", "y").applyInArrow(close_tile(num, den), "a long, b long").write.parquet(f"{home}/close")
+    close = components(spark.read.schema("a long, b long").parquet(f"{home}/close")).withColumnRenamed("component_id", "key").checkpoint()
+    size = texts.select("doc_id", F.octet_length("text").alias("size")).join(close, "doc_id").groupBy("key").agg(F.count("*").alias("g"), F.sum("size").alias("size"))
+    some = close.join(size.select("key", tiles_of(F.col("g"), F.col("size"), tile, TILE_BYTES).alias("nt")), "key").join(label, "doc_id", "left")
+    compare(texts, some.select("doc_id", "key", F.coalesce("component_id", "doc_id").alias("c"), "nt"), 0)
     return components(links).checkpoint()
 
 
