@@ -1,4 +1,12 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read by the next."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read by the next.
+
+Rules: a row with a null text is scored, compared and decontaminated as one without words, and mixing, which copies
+words, drops it with all empty texts. Rows with a null doc_id pass the near-duplicate stage (only rows equal in id
+and text are copies there) and are judged as others elsewhere; rows that share a doc_id are judged row by row. Null sources
+and languages are values. Ties go to the smaller doc_id, then to the smaller SHA-256 of the text. A text of any length
+is one row in every stage. Extra columns are carried to the end, whatever their names; a column `shard` is
+replaced. Empty tables of documents, labels or benchmark items give what is left: no rows, no toxic ones, no hits.
+"""
 
 from __future__ import annotations
 
@@ -40,8 +48,8 @@ STAGES = [
     ("sharding", _sharding),
 ]
 
-#: A trained classifier and dependent rounding have no SQL. Tests hold the ids that near duplicates and decontamination keep
-#: against brute force; of run() as a whole they check the columns, that documents are left and none comes more than twice.
+#: A trained classifier and dependent rounding have no SQL. Tests read each stage that run() has written and hold it
+#: against brute force on the stage before it; the classifier's decisions are held against its own scores and the labels.
 ORACLE_SQL = None
 
 
