@@ -62,31 +62,30 @@ def code_name(name: Column) -> Column:
 
 
 def camel_words(name: Column) -> Column:
-    """Words of a camel-case name; a run of capitals is one word up to the next word's capital."""
-    return F.regexp_extract_all(name, F.lit("[A-Z]+(?![a-z])|[A-Z]?[a-z0-9]+|[0-9]+"), F.lit(0))
+    """Words of a camel-case name: one starts at a capital after a small letter or digit, or at the last of a run of capitals before a small letter."""
+    return F.split(name, "(?<=[\\p{Ll}0-9])(?=\\p{Lu})|(?<=\\p{Lu})(?=\\p{Lu}\\p{Ll})")
 
 
 def variant_naming_hit(owner: Column, variants: Column) -> Column:
-    """Three variants or more that all begin or all end with one word, or with the owner's word."""
+    """Three variants or more of which one repeats its owner's name at a word's edge, or that all begin or all end with one word."""
     words = F.transform(variants, camel_words)
-    ends = [F.transform(words, lambda w, i=i: F.element_at(w, i)) for i in (1, -1)]
+    ends = [F.transform(words, lambda w: F.element_at(w, 1)), F.transform(words, lambda w: F.element_at(w, -1))]
     same = [F.size(F.array_distinct(x)) == 1 for x in ends]
     several = F.forall(words, lambda w: F.size(w) > 1)
-    own = F.forall(variants, lambda v: v.startswith(owner)) | F.forall(variants, lambda v: v.endswith(owner))
-    return (F.size(variants) >= 3) & ((several & (same[0] | same[1])) | own)
+    head = lambda v: v.startswith(owner) & F.substr(v, F.length(owner) + 1).rlike("^[^\\p{Ll}]")
+    own = F.exists(variants, lambda v: head(v) | ((v != owner) & v.endswith(owner)))
+    return (F.size(variants) >= 3) & (own | (several & (same[0] | same[1])))
 
 
 def convention_violation(name: Column, self_kind: Column, copy: Column, trait_item: Column) -> Column:
-    """A method whose receiver contradicts its name's prefix. Prefixes and receivers."""
+    """A method whose receiver contradicts its name. Names and receivers; a reference may be a value where the type is Copy."""
+    none, value = self_kind == "none", self_kind == "value"
+    ref, ref_mut = (self_kind == "ref") | (copy & value), (self_kind == "ref_mut") | (copy & value)
     want = (
-        F.when(name.startswith("as_"), self_kind.isin("ref", "mut_ref"))
-        .when(name.startswith("from_"), self_kind == "none")
-        .when(name.startswith("into_"), self_kind == "value")
-        .when(name.startswith("is_"), self_kind.isin("ref", "none") | (copy & (self_kind == "value")))
-        .when(name.startswith("to_") & name.endswith("_mut"), self_kind == "mut_ref")
-        .when(name.startswith("to_"), F.when(copy & ~trait_item, self_kind == "value").otherwise(self_kind == "ref"))
-        .otherwise(F.lit(True))
-    )
+        F.when(name == "new", none).when(name == "to_mut", ref_mut).when(name.startswith("to_") & F.substr(name, F.lit(4)).endswith("_mut"), ref_mut)
+        .when(name.startswith("to_"), F.when(copy & ~trait_item, value).otherwise(ref)).when(name.startswith("as_"), ref | ref_mut).when(name.startswith("from_"), none)
+        .when(name.startswith("into_"), value).when(name.startswith("is_"), ref | none).otherwise(F.lit(True))
+    )
     return ~want
 
 
@@ -131,8 +130,9 @@ def extract_version(output: Column, pattern: str) -> Column:
 
 
 def is_sentinel(literal: Column) -> Column:
-    """0, 1, an empty string, or such a number with a type suffix."""
-    return F.coalesce(literal.rlike('^(?:[01](?:\\.0*)?(?:_?[iuf](?:8|16|32|64|128|size))?|[bc]?r?#*""#*)$'), F.lit(False))
+    """An empty string, or a number of value 0 or 1 before its suffix, underscores aside; radix literals are none."""
+    digits = F.regexp_extract(F.replace(literal, F.lit("_"), F.lit("")), "^([0-9.]+)(?:[iuf](?:8|16|32|64|128|size))?$", 1)
+    return F.coalesce((literal == '""') | digits.try_cast("double").isin(0.0, 1.0), F.lit(False))
 
 
 def literal_placeholder(literal: Column) -> Column:
@@ -169,21 +169,30 @@ def feature_dependency(entry: Column) -> Column:
     return F.when(entry.startswith("dep:"), F.substr(entry, F.lit(5))).when(entry.contains("/"), F.regexp_extract(entry, "^([^?/]+)\\??/", 1))
 
 
-def triple_parts(triple: Column) -> Column:
-    """Architecture, vendor, system and environment of a target triple."""
-    p = F.split(triple, "-")
-    return F.struct(F.get(p, F.lit(0)).alias("arch"), F.get(p, F.lit(1)).alias("vendor"), F.get(p, F.lit(2)).alias("os"), F.get(p, F.lit(3)).alias("env"))
-
-
 def type_base(type_text: Column) -> Column:
     """Last path segment of a type without references, lifetimes and generics."""
     bare = F.regexp_replace(type_text, "^(?:&\\s*(?:'\\w+\\s*)?(?:mut\\s+)?)+", "")
     return F.substring_index(F.regexp_replace(bare, "<.*$", ""), "::", -1)
 
 
-def capped_list(items: Column, most: int) -> Column:
+def capped_list(items: Column, most: int = 5) -> Column:
+    """The first `most` items, comma-joined, with the number of the rest as a last item."""
     rest = F.size(items) - most
-    return F.concat(F.array_join(F.slice(items, 1, most), ", "), F.when(rest > 0, F.format_string(" and %d more", rest)).otherwise(""))
+    head = F.slice(items, 1, most)
+    return F.array_join(F.when(rest > 0, F.array_append(head, F.format_string("and %d more", rest))).otherwise(head), ", ")
+
+
+def other_sites(instances: Column, most: int = 5) -> Column:
+    """`file:line` of all instances (file, line, ...) but the first, capped."""
+    rest = F.slice(instances, 2, F.greatest(F.size(instances) - 1, F.lit(0)))
+    return capped_list(F.transform(rest, lambda x: F.concat(display_path(x["file"]), F.lit(":"), x["line"].cast("string"))), most)
+
+
+def silence_hint(file: Column, scope: Column, marker: Column, lint: Column) -> Column:
+    """The directive that silences a finding: a macro where the marker crate is there, else a comment in the file's language."""
+    rust = scope.isin("line", "file") & file.endswith(".rs")
+    ident = F.replace(lint, F.lit("-"), F.lit("_"))
+    return F.when(rust & marker, F.format_string("tessera_lint::expect!(%s);", ident)).when(rust, F.format_string("// tessera-lint: expect(%s)", lint)).otherwise(F.format_string("# tessera-lint: expect(%s)", lint))
 
 
 def cache_key(files: Column) -> Column:

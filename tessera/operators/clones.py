@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,38 +50,31 @@ def clone_groups(regions: DataFrame, min_instances: int = MIN_INSTANCES, cross_c
     return g.where(ok)
 
 
-def subsume(groups: DataFrame) -> DataFrame:
+def subsume(groups: DataFrame, width: int = 256) -> DataFrame:
     """Greedy, largest first: a group goes if every instance lies within an accepted one of the same file.
 
-    Order matters only between groups that share files, so the pass runs for each connected set of files.
+    Which larger groups hold an instance comes from one join, lines being dealt to cells. A group is decided once those that
+    could hold it are: rounds go down the nesting, each over all groups, and no set of files is gathered in one task.
     """
     from .graph import cut
 
-    g = cut(groups.withColumn("gid", F.xxhash64("fp", "n_tokens")))
-    at = cut(g.select("gid", F.explode(F.array_distinct(F.transform("instances", lambda x: x["file"]))).alias("file")).withColumn("part", F.xxhash64("file")))
-    while True:  # smallest label of the files of a group, until it settles
-        by_group = at.groupBy("gid").agg(F.min("part").alias("m"))
-        by_file = at.join(by_group, "gid").groupBy("file").agg(F.min("m").alias("new"))
-        new = cut(at.join(by_file, "file").select("gid", "file", F.col("new").alias("part"), (F.col("new") < F.col("part")).alias("moved")))
-        at = new.drop("moved")
-        if new.where("moved").isEmpty():
-            break
-    part = at.groupBy("gid").agg(F.min("part").alias("part"))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_f=pdf.instances.map(lambda x: (x[0]["file"], x[0]["line"]))).sort_values(["n_tokens", "_f", "fp"], ascending=[False, True, True])
-        kept: dict[str, list] = {}
-        out = []
-        for row in pdf.itertuples():
-            if all(any(lo <= i["line"] and i["end_line"] <= hi for lo, hi in kept.get(i["file"], ())) for i in row.instances):
-                continue
-            for i in row.instances:
-                kept.setdefault(i["file"], []).append((i["line"], i["end_line"]))
-            out.append((row.fp, row.n_tokens))
-        return pd.DataFrame(out, columns=["fp", "n_tokens"])
-
-    kept = g.join(part, "gid").groupBy("part").applyInPandas(greedy, f"fp string, n_tokens {groups.schema['n_tokens'].dataType.simpleString()}")
-    return groups.join(kept, ["fp", "n_tokens"], "left_semi")
+    rank = F.struct((-F.col("n_tokens")).alias("t"), F.col("instances")[0]["file"].alias("f"), F.col("instances")[0]["line"].alias("l"), "fp")
+    g = cut(groups.select("fp", "n_tokens", rank.alias("rank"), F.posexplode("instances").alias("k", "i")).select("fp", "n_tokens", "rank", "k", "i.file", "i.line", "i.end_line"))
+    cell = lambda c: F.floor(F.col(c) / width)
+    outer = g.select("file", F.col("line").alias("lo"), F.col("end_line").alias("hi"), F.col("rank").alias("by"), F.explode(F.sequence(cell("line"), cell("end_line"))).alias("c"))
+    held = g.withColumn("c", cell("line")).join(outer, ["file", "c"]).where("lo <= line and end_line <= hi and by < rank").select("rank", "k", "by").distinct()
+    held = cut(g.select("rank", "k").distinct().join(held, ["rank", "k"], "left"))
+    done = None
+    todo = held
+    while not todo.isEmpty():
+        known = todo.withColumn("ok", F.lit(None).cast("boolean")) if done is None else todo.join(done.select(F.col("rank").alias("by"), "ok"), "by", "left")
+        inst = known.groupBy("rank", "k").agg(F.bool_or(F.coalesce("ok", F.lit(False))).alias("inside"), F.bool_and(F.col("by").isNull() | F.col("ok").isNotNull()).alias("sure"))
+        by = inst.groupBy("rank").agg(F.bool_and("inside").alias("drop"), F.bool_or(F.col("sure") & ~F.col("inside")).alias("keep"))
+        new = by.where("drop or keep").select("rank", F.col("keep").alias("ok"))
+        done = cut(new if done is None else done.unionByName(new))
+        todo = cut(todo.join(done.select("rank"), "rank", "left_anti"))
+    kept = g.limit(0).select("rank") if done is None else done.where("ok").select("rank")
+    return groups.join(g.join(kept, "rank", "left_semi").select("fp", "n_tokens").distinct(), ["fp", "n_tokens"], "left_semi")
 
 
 def divergence(literals: DataFrame) -> DataFrame:
@@ -91,18 +83,30 @@ def divergence(literals: DataFrame) -> DataFrame:
     literals(gid, instance, pos, text): each position's column of texts in instance order.
     """
     column = literals.groupBy("gid", "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("instance", "text"))), lambda x: x["text"]).alias("values"))
-    return column.groupBy("gid", "values").agg(F.count("*").alias("support")).withColumn("divergent", F.size(F.array_distinct("values")) > 1)
+    return column.groupBy("gid", "values").agg(F.count("*").alias("support"), F.min("pos").alias("first_pos")).withColumn("divergent", F.size(F.array_distinct("values")) > 1)
+
+
+def divergence_stats(classes: DataFrame) -> DataFrame:
+    """(gid, positions, divergent, params): literal positions of a group, those that differ, and the parameters they'd take."""
+    return classes.groupBy("gid").agg(F.sum("support").alias("positions"), F.sum(F.when(F.col("divergent"), F.col("support")).otherwise(0)).alias("divergent"), F.count_if("divergent").alias("params"))
 
 
 def violations(classes: DataFrame) -> DataFrame:
-    """Lone positions one literal away from a divergent class of two or more: likely forgotten edits."""
-    d = classes.where("support = 1").select("gid", F.col("values").alias("defector"))
-    donor = classes.where("divergent and support >= 2").select("gid", F.col("values").alias("donor"), "support")
+    """(gid, pos, instance, found, expected): lone positions one literal away from a class of two or more that differs: likely forgotten edits.
+
+    The donor is the class with the most positions, the last such one. The odd literal must be what another instance of the donor has,
+    and neither it nor the expected one a sentinel.
+    """
     from ..functions.paths import diff_count, is_sentinel
 
+    d = classes.where("support = 1").select("gid", F.col("values").alias("defector"), F.col("first_pos").alias("pos"))
+    donor = classes.where("divergent and support >= 2").select("gid", F.col("values").alias("donor"), "support", F.col("first_pos").alias("dp"))
     near = d.join(donor, "gid").where(diff_count(F.col("defector"), F.col("donor")) == 1)
-    best = near.groupBy("gid", "defector").agg(F.max_by("donor", F.struct("support", "donor")).alias("donor"))
-    return best.where(~F.exists("defector", is_sentinel))
+    best = near.groupBy("gid", "pos", "defector").agg(F.max_by("donor", F.struct("support", "dp")).alias("donor"))
+    at = F.expr("array_position(zip_with(defector, donor, (a, b) -> a <> b), true)").cast("int")
+    v = best.withColumn("at", at).withColumn("found", F.element_at("defector", F.col("at"))).withColumn("expected", F.element_at("donor", F.col("at")))
+    twin = F.expr("exists(filter(donor, (x, j) -> j + 1 <> at), x -> x = found)")
+    return v.where(twin & ~is_sentinel(F.col("found")) & ~is_sentinel(F.col("expected"))).select("gid", "pos", (F.col("at") - 1).alias("instance"), "found", "expected")
 
 
 def survives_gate(n_violations: Column, n_params: Column, most: int = MAX_PARAMS) -> Column:
@@ -121,14 +125,51 @@ def duplicate_records(baseline: DataFrame) -> DataFrame:
     return baseline.groupBy("fp", "n_tokens").count().where("count > 1")
 
 
-def stitchable(groups: DataFrame, most: int = 5) -> DataFrame:
-    """Pairs of groups whose instances lie side by side, counted for each gap up to `most` (cumulative)."""
-    inst = groups.select("gid", F.size("instances").alias("n"), F.posexplode("instances").alias("k", "i")).select("gid", "n", "k", "i.*")
-    a, b = (inst.select(*[F.col(c).alias(f"{c}{s}") for c in inst.columns]) for s in "ab")
-    pair = a.join(b, (F.col("na") == F.col("nb")) & (F.col("ka") == F.col("kb")) & (F.col("filea") == F.col("fileb")) & (F.col("gida") != F.col("gidb")))
-    gap = F.col("lineb") - F.col("end_linea")
-    got = pair.withColumn("gap", gap).where(gap.between(1, most)).groupBy("gida", "gidb", "na").agg(F.count("*").alias("c"), F.max("gap").alias("gap")).where("c = na")
-    return got.select(*[F.count_if(F.col("gap") <= g).alias(f"gap_{g}") for g in range(1, most + 1)])
+def stitchable(groups: DataFrame, most: int = 5, width: int = 64) -> DataFrame:
+    """Pairs of groups of equal size whose instances lie near each other pair by pair, counted for each largest gap up to `most` (cumulative).
+
+    A gap is the later start less the earlier end, 0 where two overlap, and the largest of a pair counts; pairs of gap 0 don't. First
+    instances meet by file and cells of lines, so no two groups of different places are compared.
+    """
+    g = groups.select("gid", F.size("instances").alias("n"), "instances")
+    first = F.col("instances")[0]
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))
+    a = g.select(F.col("gid").alias("ga"), "n", F.col("instances").alias("ia"), first["file"].alias("file"), cells(first["line"] - most, first["end_line"] + most).alias("c"))
+    b = g.select(F.col("gid").alias("gb"), "n", F.col("instances").alias("ib"), first["file"].alias("file"), cells(first["line"], first["end_line"]).alias("c"))
+    pair = a.join(b, ["n", "file", "c"]).where("ga < gb").dropDuplicates(["ga", "gb"])
+    gap = lambda x, y: F.greatest(y["line"] - x["end_line"], x["line"] - y["end_line"], F.lit(0))
+    pair = pair.where(F.forall(F.zip_with("ia", "ib", lambda x, y: x["file"] == y["file"]), lambda t: t))
+    top = pair.withColumn("gap", F.array_max(F.zip_with("ia", "ib", gap))).where(F.col("gap").between(1, most))
+    return top.select(*[F.count_if(F.col("gap") <= x).alias(f"gap_{x}") for x in range(1, most + 1)])
+
+
+def measures(groups: DataFrame, stats: DataFrame, found: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """One row a group without judging: anchor, instances, tokens, lines, literal positions, parameters, drift, class."""
+    first = F.col("instances")[0]
+    m = groups.select("gid", "fp", "n_tokens", F.size("instances").alias("n_instances"), first["file"].alias("file"), first["line"].alias("line"), (first["end_line"] - first["line"] + 1).alias("n_lines"))
+    drift = found.groupBy("gid").agg(F.count("*").alias("drift"))
+    m = m.join(stats, "gid", "left").join(drift, "gid", "left").withColumn("drift", F.when(F.col("positions").isNotNull(), F.coalesce("drift", F.lit(0))))
+    return m if classes is None else m.join(classes.select("gid", F.col("refactoring").alias("class")), "gid", "left")
+
+
+def stats_readout(measured: DataFrame, thresholds: tuple[int, ...] = (2, 3, 4, 5)) -> DataFrame:
+    """(what, value, n): histogram of parameters, groups without any, groups a limit of parameters would hide, drift candidates."""
+    d = measured.where("positions is not null")
+    out = d.groupBy(F.col("params").cast("int").alias("value")).agg(F.count("*").alias("n")).select(F.lit("params").alias("what"), "value", "n")
+    none = F.lit(None).cast("int").alias("value")
+    out = out.unionByName(d.agg(F.count_if(F.col("params") == 0).alias("n")).select(F.lit("identical").alias("what"), none, "n"))
+    for k in thresholds:
+        out = out.unionByName(d.agg(F.count_if((F.col("drift") == 0) & (F.col("params") > k)).alias("n")).select(F.lit("suppressed").alias("what"), F.lit(k).alias("value"), "n"))
+    return out.unionByName(d.agg(F.coalesce(F.sum("drift"), F.lit(0)).alias("n")).select(F.lit("drift").alias("what"), none, "n"))
+
+
+def scan_files(files: DataFrame, include: list[str], exclude: list[str], ignore_tests: bool = True) -> DataFrame:
+    """Files to scan, each once: of wanted targets, included (if any pattern) and not excluded. files(path, real_path, target_kind)."""
+    from ..functions.paths import any_glob
+
+    f = files.where(~F.col("target_kind").isin("test", "bench", "example")) if ignore_tests else files
+    f = f.withColumn("_n", F.row_number().over(Window.partitionBy("real_path").orderBy("path", "target_kind"))).where("_n = 1").drop("_n")
+    return f.where((any_glob(F.col("path"), include) if include else F.lit(True)) & ~any_glob(F.col("path"), exclude))
 
 
 def statement_runs(statements: DataFrame, longest: int | None = None) -> DataFrame:

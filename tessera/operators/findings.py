@@ -23,17 +23,20 @@ def apply_levels(findings: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def suppressed(findings: DataFrame, directives: DataFrame) -> DataFrame:
-    """(finding id, directive id) pairs that match. Equi joins by lint and scope, never a cross join.
+    """(finding id, directive id) pairs that match: same scope or a wider one, or up to LOOK_AHEAD lines above.
 
-    findings need `fid`; directives(did, lint, scope, file, line, crate).
+    Equi joins by lint, scope and a file's name; then paths are compared by suffix, since some are relative. findings need
+    `fid`; directives(did, lint, scope, file, line, crate).
     """
-    f = findings.select("fid", "lint", "file", F.col("line").alias("fl"), "crate")
-    d = directives
-    ahead = d.where("scope = 'line'").withColumn("fl", F.explode(F.sequence("line", F.col("line") + LOOK_AHEAD))).select("did", "lint", "file", "fl")
-    by_line = f.join(ahead, ["lint", "file", "fl"])
-    by_file = f.join(d.where("scope = 'file'").select("did", "lint", "file"), ["lint", "file"])
-    by_crate = f.join(d.where("scope = 'crate'").select("did", "lint", "crate"), ["lint", "crate"])
-    everywhere = f.join(d.where("scope = 'workspace'").select("did", "lint"), ["lint"])
+    base = lambda d: d.withColumn("_b", F.substring_index("file", "/", -1))
+    f = base(findings.select("fid", "lint", "file", F.col("line").alias("fl"), "crate"))
+    d = base(directives).withColumnRenamed("file", "df")
+    near = lambda j: j.where(P.same_file(F.col("file"), F.col("df")))
+    ahead = d.where("scope = 'line'").withColumn("fl", F.explode(F.sequence("line", F.col("line") + LOOK_AHEAD))).select("did", "lint", "df", "_b", "fl")
+    by_line = near(f.join(ahead, ["lint", "_b", "fl"]))
+    by_file = near(f.join(d.where("scope = 'file'").select("did", "lint", "df", "_b"), ["lint", "_b"]))
+    by_crate = f.join(directives.where("scope = 'crate'").select("did", "lint", "crate"), ["lint", "crate"])
+    everywhere = f.join(directives.where("scope = 'workspace'").select("did", "lint"), ["lint"])
     out = [x.select("fid", "did") for x in (by_line, by_file, by_crate, everywhere)]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).distinct()
 
@@ -45,15 +48,14 @@ def suppress(findings: DataFrame, directives: DataFrame) -> DataFrame:
 def stale_expects(findings: DataFrame, directives: DataFrame, ran: DataFrame) -> DataFrame:
     """(file, line, stale, deletable): expectations without a match, by source line.
 
-    Only lints that ran are judged; a line can go only if each of its lints was judged and unmatched.
-    directives have `kind` (allow or expect).
+    Only `expect` entries count, and of these only lints that ran (ran holds known lints alone) are judged; equal lints of a line
+    are one, met if any of them is. A line can go only if each of its lints was judged and unmet.
     """
-    met = suppressed(findings, directives).select("did", F.lit(True).alias("_m")).distinct()
-    d = directives.join(met, "did", "left").join(ran.select("lint", F.lit(True).alias("_r")).distinct(), "lint", "left")
-    stale = (F.col("kind") == "expect") & F.col("_r").isNotNull() & F.col("_m").isNull()
-    g = d.withColumn("_s", stale).groupBy("file", "line").agg(
-        F.sort_array(F.collect_set(F.when(F.col("_s"), F.col("lint")))).alias("stale"), F.bool_and("_s").alias("deletable")
-    )
+    met = suppressed(findings, directives).select("did").distinct().withColumn("_m", F.lit(True))
+    d = directives.where("kind = 'expect'").join(met, "did", "left").join(ran.select("lint", F.lit(True).alias("_r")).distinct(), "lint", "left")
+    each = d.groupBy("file", "line", "lint").agg(F.bool_or(F.coalesce("_m", F.lit(False))).alias("met"), F.bool_or(F.coalesce("_r", F.lit(False))).alias("judged"))
+    stale = F.col("judged") & ~F.col("met")
+    g = each.groupBy("file", "line").agg(F.sort_array(F.collect_set(F.when(stale, F.col("lint")))).alias("stale"), F.bool_and(stale).alias("deletable"))
     return g.where(F.size("stale") > 0)
 
 
@@ -103,10 +105,48 @@ def once_notes(notes: DataFrame, order: str = "pos") -> DataFrame:
 
 
 def render_github(findings: DataFrame) -> DataFrame:
-    """Workflow commands, one line each."""
-    kind = F.when(F.col("level").isin("deny", "error"), "error").when(F.col("level") == "warn", "warning").otherwise("notice")
-    place = F.when(F.col("file").isNotNull(), F.concat(F.lit(" file="), P.escape_property(F.col("file")), F.coalesce(F.concat(F.lit(",line="), F.col("line").cast("string")), F.lit("")))).otherwise("")
-    return findings.select(F.concat(F.lit("::"), kind, place, F.lit("::"), P.escape_data(F.col("message"))).alias("value"))
+    """Workflow commands, one line each. findings(level, lint, message, file, line, col, scope, anchor_file, anchor_line, manifest_dir).
+
+    A finding without a place of its own takes its anchor's: a line, a file, the crate's manifest or the workspace's.
+    """
+    own, one = F.col("file").isNotNull(), F.lit(1)
+    scope = F.col("scope")
+    file = F.when(own, F.col("file")).when(scope.isin("line", "file"), F.col("anchor_file")).when(scope == "crate", F.concat("manifest_dir", F.lit("/Cargo.toml"))).otherwise("Cargo.toml")
+    line = F.when(own, F.col("line")).when(scope == "line", F.col("anchor_line")).otherwise(one)
+    col = F.when(own, F.col("col")).otherwise(one)
+    text = [F.lit("::"), F.col("level"), F.lit(" file="), P.escape_property(P.display_path(file)), F.lit(",line="), line.cast("string"), F.lit(",col="), col.cast("string")]
+    return findings.select(F.concat(*text, F.lit(",title="), P.escape_property(F.col("lint")), F.lit("::"), P.escape_data(F.col("message"))).alias("value"))
+
+
+def render(findings: DataFrame, form: str) -> DataFrame:
+    """Findings in one of the formats: human, json or github."""
+    return {"human": render_human, "json": render_json, "github": render_github}[form](findings)
+
+
+def rule_note(lint: str, glob: Column) -> Column:
+    """Which rule a finding comes from."""
+    return F.concat(F.lit(f"configured by the `{lint}` rule with glob `"), glob, F.lit("`"))
+
+
+def drop_generated(findings: DataFrame, generated: DataFrame) -> DataFrame:
+    """Findings that are not anchored in a generated file; those without a file stay. generated(path)."""
+    key = lambda c: P.display_path(F.col(c))
+    return findings.withColumn("_p", key("file")).join(generated.select(key("path").alias("_p")).distinct(), "_p", "left_anti").drop("_p")
+
+
+def needed_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
+    """Edits that change something: the bytes in their range are not the replacement yet. files(path, content); edits(path, lo, hi, replacement)."""
+    j = edits.join(files.select("path", F.encode("content", "utf-8").alias("_b")), "path")
+    fits = (F.col("lo") < F.octet_length("_b")) & (F.col("hi") <= F.octet_length("_b")) & (F.col("lo") <= F.col("hi"))
+    now = F.decode(F.substring(F.col("_b"), F.col("lo") + 1, F.col("hi") - F.col("lo")), "utf-8")
+    return j.where(~(fits & (now == F.col("replacement")))).select(*edits.columns)
+
+
+def tracked_edits(edits: DataFrame, tracked: DataFrame) -> DataFrame:
+    """Edits of files under version control; an empty table of tracked files (no repository) withholds none. tracked(path)."""
+    some = tracked.limit(1).select(F.lit(True).alias("_s"))
+    j = edits.join(F.broadcast(some), how="left").join(tracked.select("path", F.lit(True).alias("_t")).distinct(), "path", "left")
+    return j.where("_s is null or _t").select(*edits.columns)
 
 
 def render_json(findings: DataFrame) -> DataFrame:

@@ -13,22 +13,26 @@ def cut(df: DataFrame) -> DataFrame:
     """df without lineage, kept in the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        base = sc.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints/tessera"  # set only where unset
+        base = sc.getConf().get("spark.checkpoint.dir")
+        if not base:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            base = "file:///tmp/checkpoints/tessera"  # one machine, as in tests
         sc.setCheckpointDir(f"{base}/graph-{uuid.uuid4().hex}")
     return df.checkpoint()
 
 
 def closure(seeds: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst", node: str = "node", root: str = "root", rounds: int = 1000) -> DataFrame:
     """(root, node) reachable from each seed, seeds included. Frontier by frontier, so cycles end."""
-    seen = cut(seeds.select(F.col(root), F.col(node)).distinct())
-    front = seen
-    e = edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).distinct()
+    front = cut(seeds.select(F.col(root), F.col(node)).distinct())
+    seen = front
+    e = cut(edges.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).distinct())
     for _ in range(rounds):
         step = front.join(e, F.col(node) == F.col("_s")).select(root, F.col("_d").alias(node)).distinct()
         front = cut(step.join(seen, [root, node], "left_anti"))
         if front.isEmpty():
             return seen
-        seen = cut(seen.unionByName(front))
+        seen = seen.unionByName(front)  # a union of written deltas: what is known is not written again
     raise RuntimeError("closure did not settle")
 
 
@@ -39,21 +43,24 @@ def cascade(nodes: DataFrame, edges: DataFrame, removed: DataFrame, veto: Callab
     and every user is removed. veto(newly) returns the nodes that must stay; a vetoed node stays for good.
     """
     gone = cut(removed.select("node", F.lit(0).alias("round")).distinct())
-    used = edges.select(F.col("dst").alias("node")).distinct()
-    kept = None
+    out = cut(edges.select("src", "dst"))
+    left = cut(out.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).join(nodes.select("node").distinct(), "node", "left_semi"))
+    new, kept, all_gone = gone.select("node"), None, gone
     for i in range(1, rounds):
-        alive = edges.join(gone.select(F.col("node").alias("src")), "src", "left_anti").select(F.col("dst").alias("node")).distinct()
-        new = nodes.select("node").join(used, "node", "left_semi").join(alive, "node", "left_anti").join(gone, "node", "left_anti")
+        # only the out-edges of what fell last are taken from the counts of remaining users
+        less = new.withColumnRenamed("node", "src").join(out, "src").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("k"))
+        left = cut(left.join(less, "node", "left").select("node", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n")))
+        new = left.where("n = 0").select("node").join(all_gone.select("node"), "node", "left_anti")
         if kept is not None:
             new = new.join(kept, "node", "left_anti")
         new = cut(new)
         if veto is not None:
             held = cut(veto(new).select("node").distinct())
-            kept = held if kept is None else cut(kept.unionByName(held).distinct())
+            kept = held if kept is None else kept.unionByName(held).distinct()
             new = cut(new.join(held, "node", "left_anti"))
         if new.isEmpty():
-            return gone
-        gone = cut(gone.unionByName(new.withColumn("round", F.lit(i))))
+            return all_gone
+        all_gone = all_gone.unionByName(cut(new.withColumn("round", F.lit(i))))
     raise RuntimeError("cascade did not settle")
 
 
@@ -104,6 +111,18 @@ def innermost(points: DataFrame, spans: DataFrame, by: str, at: str, lo: str = "
     return p.join(best, "_p").select(*points.columns, "_s.*")
 
 
+def innermost_by_start(points: DataFrame, spans: DataFrame, by: str, line: str, col: str, width: int = 256) -> DataFrame:
+    """points with the span of the same `by` that starts last among those holding (line, col); spans(line_lo, col_lo, line_hi, col_hi), ends included."""
+    p = cut(points.withColumn("_p", F.monotonically_increasing_id()))
+    cells = spans.withColumn("_c", F.explode(F.sequence(F.floor(F.col("line_lo") / width), F.floor(F.col("line_hi") / width))))
+    at = F.struct(F.col(line).alias("l"), F.col(col).alias("c"))
+    lo, hi = (F.struct(F.col(f"line_{x}").alias("l"), F.col(f"col_{x}").alias("c")) for x in ("lo", "hi"))
+    hit = p.withColumn("_c", F.floor(F.col(line) / width)).join(cells, [by, "_c"]).where((lo <= at) & (at <= hi))
+    names = [c for c in spans.columns if c != by]
+    best = hit.groupBy("_p").agg(F.max_by(F.struct(*names), F.struct("line_lo", "col_lo", (-F.col("line_hi")).alias("h"))).alias("_s"))
+    return p.join(best, "_p").select(*points.columns, "_s.*")
+
+
 def latest_before(left: DataFrame, right: DataFrame, by: list[str], at: str, value: Column, out: str) -> DataFrame:
     """As-of join: for each left row the value of the last right row with a strictly smaller `at`.
 

@@ -122,22 +122,55 @@ def orphan_files(files: DataFrame, opened: DataFrame, declared: DataFrame, membe
 
 
 def version_mismatch(tools: DataFrame, lock: DataFrame, pattern: str) -> DataFrame:
-    """(tool, found, locked) where the captured version differs. tools(tool, crate, output); lock(crate, version)."""
-    first = lock.groupBy("crate").agg(F.min("version").alias("locked"))
+    """(tool, found, locked) where the captured version differs. tools(tool, crate, output); lock(pos, crate, version), the first entry of a crate counts."""
+    first = lock.groupBy("crate").agg(F.min_by("version", "pos").alias("locked"))
     j = tools.withColumn("found", P.extract_version(F.col("output"), pattern)).join(first, "crate")
     return j.where(~F.col("found").eqNullSafe(F.col("locked"))).select("tool", "found", "locked")
 
 
-def shadow_regions(regions: DataFrame, evaluated: DataFrame) -> DataFrame:
-    """Regions that no config evaluates to true; unknown counts as shadowed. evaluated(region, config_id, value)."""
-    on = evaluated.where("value").select("region").distinct()
-    return regions.join(on, "region", "left_anti")
-
-
 def missing(expected: DataFrame, present: DataFrame, on: list[str]) -> DataFrame:
     return expected.join(present, on, "left_anti")
 
 
+def missing_everywhere(expected: DataFrame, present: DataFrame, on: list[str]) -> DataFrame:
+    """Expected rows that no directory of their group holds. present may name several directories."""
+    return expected.join(present.select(*on).distinct(), on, "left_anti")
+
+
+def newest_copy(fragments: DataFrame, by: list[str], stamp: str = "mtime") -> DataFrame:
+    """One fragment of each name over all configs: the one written last (then the greatest path)."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy(*by).orderBy(F.col(stamp).desc(), F.col("path").desc())
+    return fragments.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def retained_generations(generations: DataFrame, current: int, previous: int) -> DataFrame:
+    """The current generation and the newest `previous` others. A top-k of one folder's few generations. generations(n)."""
+    others = generations.where(F.col("n") != current).orderBy(F.col("n").desc()).limit(previous)
+    return generations.where(F.col("n") == current).unionByName(others)
+
+
+def stale_entries(cache: DataFrame, keep: str, now: Column, ttl_seconds: int) -> DataFrame:
+    """Entries idle for more than the limit: not the kept one, and with a mark of their last use. cache(name, last_used)."""
+    return cache.where((F.col("name") != keep) & F.col("last_used").isNotNull() & (F.unix_timestamp(now) - F.unix_timestamp("last_used") > ttl_seconds))
+
+
+def member_closure(roots: DataFrame, edges: DataFrame, members: DataFrame, tests: bool, all_features: bool) -> DataFrame:
+    """(member) a scoped config compiles: from its roots over normal and build edges between members, dev edges from roots if tests are
+    built, optional ones unless features are the default. edges(src, dst, kind, optional)."""
+    root = roots.select(F.col("member").alias("src"), F.lit(True).alias("_root")).distinct()
+    inside = edges.join(members.select(F.col("member").alias("dst")), "dst", "left_semi").join(root, "src", "left")
+    follow = F.when(F.col("kind") == "dev", F.lit(tests) & F.col("_root").isNotNull() & ~F.col("optional")).otherwise(~F.col("optional") | F.lit(all_features))
+    seeds = roots.join(members, "member", "left_semi").select(F.lit(0).alias("root"), F.col("member").alias("node")).distinct()
+    return closure(seeds, inside.where(follow).select("src", "dst")).select(F.col("node").alias("member")).distinct()
+
+
+def incomplete_groups(expected: DataFrame, present: DataFrame) -> DataFrame:
+    """(universe, missing): fragments that no config of a universe group has. expected(universe, name); present(universe, name)."""
+    return missing_everywhere(expected, present, ["universe", "name"]).groupBy("universe").agg(F.sort_array(F.collect_set("name")).alias("missing"))
+
+
 def effective_level(explicit: Column, crate_lint: Column, crate_default: Column, global_lint: Column, global_default: Column, is_meta: Column) -> Column:
     """Level cascade; an `allow` default never hides a meta lint."""
     floor = lambda c: F.when(is_meta & (c == "allow"), "warn").otherwise(c)

@@ -315,7 +315,14 @@ def finding_summary(spark, d):
     return findings.summary(t(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "P", "deny").otherwise("warn").alias("level")))
 
 
-@query("""SELECT '::' || CASE WHEN o_orderstatus = 'P' THEN 'error' ELSE 'warning' END || ' file=' || replace(o_orderpriority, ':', '%3A') || ',line=' || o_orderkey || '::order ' || o_orderstatus AS value FROM orders""")
+@query("""SELECT '::' || CASE WHEN o_orderstatus = 'P' THEN 'error' ELSE 'warning' END || ' file=' || CASE WHEN o_orderstatus = 'O' THEN replace(o_orderpriority, ':', '%3A') || ',line=' || o_orderkey || ',col=7' WHEN o_orderkey % 4 = 0 THEN 'a/b.rs,line=' || o_custkey || ',col=1'
+ WHEN o_orderkey % 4 = 1 THEN 'a/b.rs,line=1,col=1' WHEN o_orderkey % 4 = 2 THEN 'crates/x/Cargo.toml,line=1,col=1' ELSE 'Cargo.toml,line=1,col=1' END || ',title=t%3A1::order ' || o_orderstatus || ' 5%25' AS value FROM orders""")
 def render_github(spark, d):
-    f = t(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "P", "deny").otherwise("warn").alias("level"), F.col("o_orderpriority").alias("file"), F.col("o_orderkey").alias("line"), F.concat(F.lit("order "), "o_orderstatus").alias("message"))
-    return findings.render_github(f)
+    own = F.col("o_orderstatus") == "O"
+    scope = F.element_at(F.array(*map(F.lit, ("line", "file", "crate", "workspace"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    f = t(spark, d, "orders").select(
+        F.when(F.col("o_orderstatus") == "P", "error").otherwise("warning").alias("level"), F.lit("t:1").alias("lint"), F.concat(F.lit("order "), "o_orderstatus", F.lit(" 5%")).alias("message"),
+        F.when(own, F.col("o_orderpriority")).alias("file"), F.when(own, F.col("o_orderkey")).alias("line"), F.lit(7).alias("col"), scope.alias("scope"), F.lit("a\\b.rs").alias("anchor_file"), F.col("o_custkey").alias("anchor_line"),
+        F.lit("crates/x").alias("manifest_dir"),
+    )
+    return findings.render(f, "github")

@@ -1,10 +1,13 @@
 """Rules that the driver's tables can't show, on small fact tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tessera import sources
 from tessera.functions import paths as P
-from tessera.operators import clones, findings, graph, usage, verdicts
+from tessera.functions import text
+from tessera.operators import clones, findings, graph, imports, scaffold, usage, verdicts
 from tessera.plans import registry
 
 
@@ -23,7 +26,7 @@ def test_scalars(spark):
     assert r.c2 == ["HTTP", "Server", "Name2"]
     assert (r.c3, r.c4) == (True, False)
     assert r.c5 == "a%3Ab%2Cc%25%0A" and r.c6 and r.c7 == "1.2.3" and r.c8 and not r.c9
-    assert (r.c10, r.c11, r.c12) == ("x", "a, b and 1 more", "Vec")
+    assert (r.c10, r.c11, r.c12) == ("x", "a, b, and 1 more", "Vec")
 
 
 def test_kleene_predicates(spark):
@@ -81,7 +84,7 @@ def test_subsumption_divergence_and_ratchet(spark):
     lits = [(1, i, p, t) for p, col in enumerate((("a", "b", "c"), ("a", "b", "c"), ("a", "b", "a"), ("q", "q", "q"))) for i, t in enumerate(col)]
     classes = clones.divergence(spark.createDataFrame(lits, "gid int, instance int, pos int, text string"))
     assert {tuple(r["values"]): (r.support, r.divergent) for r in classes.collect()} == {("a", "b", "c"): (2, True), ("a", "b", "a"): (1, True), ("q", "q", "q"): (1, False)}
-    assert [r.defector for r in clones.violations(classes).collect()] == [["a", "b", "a"]]
+    assert [tuple(r) for r in clones.violations(classes).collect()] == [(1, 2, 2, "a", "c")]
     s = "fp string, n_tokens int, n_instances int"
     got = clones.ratchet(spark.createDataFrame([("a", 1, 2), ("b", 1, 3), ("c", 1, 2)], s), spark.createDataFrame([("b", 1, 2), ("c", 1, 2), ("d", 1, 2)], s))
     assert {r.fp: r.verdict for r in got.collect()} == {"a": "new", "b": "grew", "c": "covered", "d": "orphan"}
@@ -96,6 +99,83 @@ def test_stitchable_is_cumulative(spark):
     s = "gid int, instances array<struct<file:string,line:int,end_line:int>>"
     g = spark.createDataFrame([(1, [("f", 1, 10), ("f", 41, 50)]), (2, [("f", 12, 20), ("f", 53, 60)])], s)
     assert list(clones.stitchable(g).first()) == [0, 0, 1, 1, 1]
+    both_ways = spark.createDataFrame([(1, [("f", 1, 10), ("f", 55, 60)]), (2, [("f", 10, 20), ("f", 41, 50)])], s)
+    assert list(clones.stitchable(both_ways).first()) == [0, 0, 0, 0, 1]  # an overlap counts as 0, the later of two may be either
+    overlap = spark.createDataFrame([(1, [("f", 1, 10)]), (2, [("f", 5, 20)])], s)
+    assert list(clones.stitchable(overlap).first()) == [0, 0, 0, 0, 0]
+
+
+def test_subsumption_equals_the_greedy_pass(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(120):
+        at = []
+        for _ in range(rng.randrange(2, 4)):
+            lo = rng.randrange(1, 700)
+            at.append((rng.choice("ab"), lo, lo + rng.randrange(1, 300)))
+        rows.append((f"fp{i:03}", rng.randrange(40, 60), sorted(at)))
+    kept, want = {}, set()
+    for fp, n, inst in sorted(rows, key=lambda r: (-r[1], r[2][0][:2], r[0])):
+        if all(any(lo <= a and z <= hi for lo, hi in kept.get(f, ())) for f, a, z in inst):
+            continue
+        for f, a, z in inst:
+            kept.setdefault(f, []).append((a, z))
+        want.add(fp)
+    df = spark.createDataFrame(rows, "fp string, n_tokens int, instances array<struct<file:string,line:int,end_line:int>>")
+    assert {r.fp for r in clones.subsume(df).collect()} == want and len(want) < 120
+
+
+def test_widened_ranges_and_trimmed_ends(spark):
+    src = "a\n  fn x() {}\n \n\nb\n\n\n"
+    df = spark.createDataFrame([(src, 4, 13)], "content string, lo int, hi int")
+    r = df.select(text.widened("content", "lo", "hi").alias("s"), text.trimmed_end(F.col("content")).alias("t")).first()
+    assert (r.s.lo, r.s.hi) == (2, 17) and r.t == "a\n  fn x() {}\n \n\nb\n"
+
+
+def test_stale_expectations_ignore_allows_and_fold_equal_lints(spark):
+    f = spark.createDataFrame([(1, "x", "ws/src/a.rs", 5, "k")], "fid int, lint string, file string, line int, crate string")
+    d = "did int, lint string, scope string, file string, line int, crate string, kind string"
+    rows = [(1, "x", "line", "src/a.rs", 4, None, "expect"), (2, "y", "line", "src/a.rs", 4, None, "expect"), (3, "z", "line", "src/a.rs", 4, None, "allow"), (4, "y", "line", "src/b.rs", 1, None, "expect"), (5, "q", "line", "src/b.rs", 2, None, "expect"), (6, "z", "line", "src/b.rs", 1, None, "allow")]
+    ran = spark.createDataFrame([("x",), ("y",), ("z",)], "lint string")
+    got = {(r.file, r.line): (r.stale, r.deletable) for r in findings.stale_expects(f, spark.createDataFrame(rows, d), ran).collect()}
+    assert got == {("src/a.rs", 4): (["y"], False), ("src/b.rs", 1): (["y"], True)}
+
+
+EDGE = "cfg int, crate string, from_path string, from_module string, to_path string, to_kind string, identity string, import boolean, reexport boolean, glob boolean, trait_scope boolean, in_signature boolean, gone boolean, file string, decl_lo int, decl_expansion boolean, elem_lo int, glob_used_names array<string>, receiver_resolved boolean, extern_root boolean, from_expansion boolean"
+
+
+def edge(src, to, imp=False, glob=False, gone=False, lo=None, used=(), module="c::m", trait=False, known=True, reexport=False):
+    return (0, "c", src, module, to, "fn", to if known else None, imp, reexport, glob, trait, False, gone, "f.rs" if lo is not None else None, lo, False, lo, list(used), False, False, False)
+
+
+def test_dangling_imports(spark):
+    rows = [
+        edge("c::m", "d::gone", imp=True, lo=1), edge("c::m", "d::kept", imp=True, lo=2), edge("c::m", "d::both", imp=True, lo=3), edge("c::m", "d::re", imp=True, lo=4, reexport=True), edge("c::m", "d::T", imp=True, lo=5),
+        edge("c::m::a", "d::kept", gone=True), edge("c::m::a", "d::both", gone=True), edge("c::m::b", "d::both"), edge("c::m::a", "d::re", gone=True), edge("c::m::a", "d::T::new", gone=True),
+        edge("c::p", "e::*", imp=True, glob=True, lo=10, used=["E1"], module="c::p"), edge("c::p::x", "e::E1", gone=True, module="c::p"), edge("c::q", "e", imp=True, glob=True, lo=11, used=["E2"], module="c::q"), edge("c::q::x", "e::E2", module="c::q"), edge("c::q::y", "e::E2", gone=True, module="c::q"),
+    ]
+    e = spark.createDataFrame(rows, EDGE)
+    mods = spark.createDataFrame([(0, "c::m"), (0, "c::p"), (0, "c::q")], "cfg int, path string")
+    none = spark.createDataFrame([], "path string")
+    got = imports.dangling_leaves(e.where("not glob"), mods, spark.createDataFrame([("d::gone",)], "path string"), none)
+    assert sorted((r.decl_lo, r.reexport) for r in got.collect()) == [(1, False), (2, False), (5, False)]
+    assert [r.decl_lo for r in imports.dangling_globs(e, mods, none).collect()] == [10]
+
+
+def test_scaffolding_shrinks_to_what_only_serves_targets(spark):
+    two = lambda rows: spark.createDataFrame(rows, "src string, dst string")
+    one = lambda *x: spark.createDataFrame([(i,) for i in x], "path string")
+    links = two([("t1", "target"), ("t1", "help"), ("t2", "target2"), ("t2", "shared"), ("other", "shared"), ("t1", "deep"), ("deep", "deeper")])
+    items, targets = one("t1", "t2", "help", "shared", "other", "deep", "deeper"), one("target", "target2")
+    none = spark.createDataFrame([], "path string")
+    universe = scaffold.referrer_closure(links, items, targets, none)
+    assert sorted(r.path for r in universe.collect()) == ["deep", "deeper", "help", "shared", "t1", "t2"]
+    stay, demoted, blocked = scaffold.shrink_scaffold(links, universe, targets, none, items, none, none)
+    assert sorted(r.path for r in stay.collect()) == ["deep", "deeper", "help", "t1", "target"]
+    assert {r.path: r.reason for r in demoted.collect()} == {"shared": "kept-by-survivor", "t2": "reaches-survivor"} and [tuple(r) for r in blocked.collect()] == [("target2", "t2")]
+    of = scaffold.referrers(links, items, targets)
+    cleared = scaffold.cleared_closure(links, of, universe, stay, blocked)
+    assert sorted((r.target, r.path) for r in cleared.collect()) == [("target", x) for x in ("deep", "deeper", "help", "t1")]
 
 
 def test_edits(spark):
