@@ -150,12 +150,23 @@ def tracked_edits(edits: DataFrame, tracked: DataFrame) -> DataFrame:
 
 
 def render_json(findings: DataFrame) -> DataFrame:
-    return findings.select(F.to_json(F.struct("lint", "level", "message", F.array(F.struct("file", "line")).alias("spans"))).alias("value"))
+    """One JSON object a finding: level, message, code, spans and children (helps, then notes). helps and notes are arrays of texts."""
+    span = F.struct(F.col("file").alias("file_name"), F.col("line").alias("line_start"), F.lit(True).alias("is_primary"))
+    spans = F.filter(F.array(F.when(F.col("file").isNotNull(), span)), lambda x: x.isNotNull())
+    child = lambda kind, c: F.transform(c, lambda m: F.struct(F.lit(kind).alias("level"), m.alias("message")))
+    children = F.concat(child("help", "helps"), child("note", "notes"))
+    return findings.select(F.to_json(F.struct("level", "message", F.struct(F.col("lint").alias("code")).alias("code"), spans.alias("spans"), children.alias("children"))).alias("value"))
 
 
 def render_human(findings: DataFrame) -> DataFrame:
-    where = F.when(F.col("file").isNotNull(), F.concat(F.lit("\n  --> "), F.col("file"), F.coalesce(F.concat(F.lit(":"), F.col("line").cast("string")), F.lit("")))).otherwise("")
-    return findings.select(F.concat("level", F.lit("["), "lint", F.lit("]: "), "message", where).alias("value"))
+    """`level: message`, the place, helps, and notes; a note that is said once (`once`) only where it comes first. findings also have pos, helps, notes, once."""
+    w = Window.partitionBy("lint", "note").orderBy("pos")
+    each = findings.select("pos", "lint", "once", F.posexplode("notes").alias("k", "note")).withColumn("n", F.row_number().over(w)).where("not once or n = 1")
+    said = each.groupBy("pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "note"))), lambda x: x["note"]).alias("said"))
+    j = findings.join(said, "pos", "left")
+    lines = lambda kind, c: F.array_join(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.concat(F.lit(f"\n  = {kind}: "), x)), "")
+    place = F.when(F.col("file").isNotNull(), F.concat(F.lit("\n --> "), P.display_path(F.col("file")), F.coalesce(F.concat(F.lit(":"), F.col("line").cast("string")), F.lit("")), F.lit("\n  |"))).otherwise("")
+    return j.select("pos", F.concat("level", F.lit(": "), "message", place, lines("help", F.col("helps")), lines("note", F.col("said"))).alias("value"))
 
 
 def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:

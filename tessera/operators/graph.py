@@ -138,12 +138,12 @@ def latest_before(left: DataFrame, right: DataFrame, by: list[str], at: str, val
     return both.where("_side = 1").select(*by, at, "_row.*", out)
 
 
-def coalesce_ranges(rows: DataFrame, by: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """Union of overlapping or touching ranges (gaps and islands)."""
+def coalesce_ranges(rows: DataFrame, by: list[str], lo: str = "lo", hi: str = "hi", merge: dict[str, Column] | None = None) -> DataFrame:
+    """Union of overlapping or touching ranges (gaps and islands); `merge` gives aggregates of what else ranges carry."""
     from pyspark.sql.window import Window
 
     w = Window.partitionBy(*by).orderBy(lo, hi)
     before = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
     head = F.when(before.isNull() | (F.col(lo) > before), 1).otherwise(0)
     isle = rows.withColumn("_h", head).withColumn("_i", F.sum("_h").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return isle.groupBy(*by, "_i").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.count("*").alias("n_ranges")).drop("_i")
+    return isle.groupBy(*by, "_i").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.count("*").alias("n_ranges"), *[c.alias(k) for k, c in (merge or {}).items()]).drop("_i")

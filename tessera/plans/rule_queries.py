@@ -197,10 +197,10 @@ def merged_blocks(spark, d):
     return usage.merged_impl_blocks(b).select("self_key", "file", "lo", "hi", "items")
 
 
-@query("""WITH r AS (SELECT user_id AS f, (value::BIGINT) % 100 AS lo, (value::BIGINT) % 100 + 3 AS hi FROM events), c AS (SELECT DISTINCT f, unnest(range(lo, hi + 1)) AS line FROM r) SELECT user_id AS file, count(*) FILTER (event_type <> 'view') AS lines FROM events e WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.f = e.user_id AND c.line = e.event_id % 100) GROUP BY 1""")
+@query("""WITH r AS (SELECT user_id AS f, floor(value)::BIGINT % 100 AS lo, floor(value)::BIGINT % 100 + 3 AS hi FROM events), c AS (SELECT DISTINCT f, unnest(range(lo, hi + 1)) AS line FROM r) SELECT user_id AS file, count(*) FILTER (event_type <> 'view') AS lines FROM events e WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.f = e.user_id AND c.line = e.event_id % 100) GROUP BY 1""")
 def shipped_lines(spark, d):
     e = t(spark, d, "events")
-    v = F.round("value").cast("long") % 100
+    v = F.floor("value") % 100
     ranges = e.select(F.col("user_id").alias("file"), v.alias("lo"), (v + 3).alias("hi"))
     return verdicts.shipped_lines(e.select(F.col("user_id").alias("file"), (F.col("event_id") % 100).alias("line"), (F.col("event_type") != "view").alias("is_code")), ranges)
 
