@@ -427,6 +427,7 @@ def segments(docs: DataFrame, width: int, threshold: tuple[int, int], doc_id: st
         return meet(table) if table["bucket"][0].as_py() >= 0 else table.select(["kind", "a", "b"])
 
     spread.groupBy("bucket").applyInArrow(settle, FOUND).write.partitionBy("kind").parquet(f"{home}/found")
+    X.release(docs.sparkSession)
     return docs.sparkSession.read.schema("a binary, b binary, kind string").parquet(f"{home}/found")
 
 
@@ -439,7 +440,7 @@ def pick(found: DataFrame, kind: str) -> DataFrame:
     return found.where(F.col("kind") == kind).select("a", "b").mapInArrow(unpack, "a long, b long")
 
 
-def linked(docs: DataFrame, found: DataFrame, width: int, threshold: tuple[int, int], doc_id: str, text: str, home: str, tile: int) -> DataFrame:
+def linked(docs: DataFrame, found: DataFrame, width: int, threshold: tuple[int, int], doc_id: str, text: str, home: str, tile: int, round_bytes: int | None = None) -> DataFrame:
     """(doc_id, component_id) of every document that is linked to another one."""
     spark = docs.sparkSession
     num, den = threshold
@@ -456,6 +457,7 @@ def linked(docs: DataFrame, found: DataFrame, width: int, threshold: tuple[int,
         nonlocal links, n_found
         path = f"{home}/links-{n_found}"
         tiled(texts.join(rows, "doc_id"), n_buckets, link_tile(width, num, den), dealings).write.parquet(path)
+        X.release(spark)
         links, n_found = links.unionByName(spark.read.schema("a long, b long").parquet(path)), n_found + 1
 
     compare(own, plan.where("nt = 1").select("doc_id", "key", F.col("doc_id").alias("c"), "nt"), 1)
@@ -476,20 +478,31 @@ def linked(docs: DataFrame, found: DataFrame, width: int, threshold: tuple[int,
     drawn = texts.join(dealt, "doc_id").mapInArrow(sketches(width), "key long, doc_id long, c long, core boolean, nr int, nc int, n long, bits binary")
     pmod = lambda k: F.pmod(F.xxhash64("doc_id"), F.col(k)).cast("int")
     drawn = drawn.withColumn("t", F.when(F.col("core"), F.col("nr") + pmod("nc")).otherwise(pmod("nr")))
-    drawn = drawn.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nr") - 1 + F.when(F.col("core"), 0).otherwise(F.col("nc")))))
-    drawn = drawn.select("key", "doc_id", "c", "n", "bits", "t", F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"))
-    drawn.groupBy("key", "x", "y").applyInArrow(close_tile(num, den), "a long, b long").write.parquet(f"{home}/close")
-    close = components(spark.read.schema("a long, b long").parquet(f"{home}/close")).withColumnRenamed("component_id", "key").checkpoint()
+    drawn.write.parquet(f"{home}/sketches")
+    X.release(spark)
+    drawn = spark.read.schema(drawn.schema).parquet(f"{home}/sketches")
+    # a sketch goes to each tile it meets; rounds of tiles keep the copies that lie on disk at once below the bytes of all texts
+    met = F.col("nr") + F.when(F.col("core"), 0).otherwise(F.col("nc"))
+    copies = drawn.agg(F.coalesce(F.sum(F.octet_length("bits") * met.cast("long")), F.lit(0))).first()[0]
+    rounds = max(1, -(-copies // max(1, X.text_bytes(docs, text) if round_bytes is None else round_bytes)))
+    dealt = drawn.withColumn("o", F.explode(F.sequence(F.lit(0), met - 1)))
+    dealt = dealt.select("key", "doc_id", "c", "n", "bits", "t", F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"))
+    for k in range(rounds):
+        some = dealt.where(F.pmod(F.xxhash64("key", "x", "y"), F.lit(rounds)) == k)
+        some.groupBy("key", "x", "y").applyInArrow(close_tile(num, den), "a long, b long").write.parquet(f"{home}/close/{k}")
+        X.release(spark)
+    X.remove(spark, f"{home}/sketches")
+    close = components(spark.read.schema("a long, b long").parquet(*(f"{home}/close/{k}" for k in range(rounds)))).withColumnRenamed("component_id", "key").checkpoint()
     size = texts.select("doc_id", F.octet_length("text").alias("size")).join(close, "doc_id").groupBy("key").agg(F.count("*").alias("g"), F.sum("size").alias("size"))
     some = close.join(size.select("key", tiles_of(F.col("g"), F.col("size"), tile, TILE_BYTES).alias("nt")), "key").join(label, "doc_id", "left")
     compare(texts, some.select("doc_id", "key", F.coalesce("component_id", "doc_id").alias("c"), "nt"), 0)
     return components(links).checkpoint()
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text", tile: int = TILE, round_bytes: int | None = None) -> DataFrame:
     """(doc_id, component_id) of every document that is linked to another one."""
     home = X.shared_dir(docs.sparkSession)
-    return linked(docs, segments(docs, width, threshold, doc_id, text, home), width, threshold, doc_id, text, home, tile)
+    return linked(docs, segments(docs, width, threshold, doc_id, text, home), width, threshold, doc_id, text, home, tile, round_bytes)
 
 
 def ngram_join(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), doc_id: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:

@@ -422,6 +422,44 @@ def test_ngram_join_of_many_near_copies_sends_forests(spark, tmp_path, monkeypat
     assert len(list((tmp_path / "home").glob("links-*"))) > 1 and sent <= 4 * len(rows)
 
 
+@pytest.mark.parametrize("local", [1 << 20, 40])
+def test_components_of_few_links_take_few_jobs(spark, monkeypatch, local):
+    """Links that fit a task are contracted in it; more of them go on in steps, with the same components."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm import graph
+
+    monkeypatch.setattr(graph, "LOCAL", local)
+    released = []
+    monkeypatch.setattr(graph.X, "release", lambda spark: released.append(1))
+    ids = list(range(300))
+    random.Random(3).shuffle(ids)
+    links = [(ids[i], ids[i + 1]) for i in range(299) if i % 50 != 49] + [(ids[0], ids[0]), (None, ids[1])]
+    got = graph.components(spark.createDataFrame(links, "a long, b long")).orderBy(F.col("doc_id")).collect()
+    least = [min(ids[i // 50 * 50 : i // 50 * 50 + 50]) for i in range(300)]
+    assert [tuple(r) for r in got] == sorted(zip(ids, least, strict=True))
+    assert bool(released) == (local == 40)
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_copies_of_sketches_meet_in_rounds(spark, tmp_path, monkeypatch):
+    """A group of many tiles without a core: its sketches meet in rounds of bounded bytes, and no link between tiles is lost."""
+    from tessera.llm import exchange, ngram_join
+
+    monkeypatch.setattr(exchange, "shared_dir", lambda spark: str(tmp_path / "home"))
+    released = []
+    monkeypatch.setattr(exchange, "release", lambda spark: released.append(len(list((tmp_path / "home").glob("close/*")))))
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base + [f"y{i // 2}z{k}" for k in range(60)] + [f"v{i}"])) for i in range(400)]  # links of two, one large group
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bound = sum(len(t) for _, t in rows) // 8
+    label = ngram_join.jaccard_components(docs, 5, (80, 100), tile=10, round_bytes=bound)
+    assert {r.doc_id: r.component_id for r in label.collect()} == {i: i // 2 * 2 for i, _ in rows}
+    rounds = len(list((tmp_path / "home").glob("close/*")))
+    assert rounds > 1 and set(range(1, rounds + 1)) <= set(released)
+    assert not (tmp_path / "home" / "sketches").exists()
+
+
 def test_sketch_bounds_symmetric_difference():
     import pyarrow as pa
 
