@@ -501,6 +501,25 @@ def test_linked_sets_share_a_segment(num, den):
                 assert np.isin(k[r == 0], k[r == i]).any(), (n, i)
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """Words that only labelled rows outside the starting sample mark as toxic are learned too, however rows are dealt."""
+    from tessera.llm.toxicity import held_out, teaching_ids, toxicity, train
+
+    rng, rows, marks = random.Random(8), [], []
+    for i in range(3000):
+        toxic = i % 5 == 0
+        rows.append((i, " ".join([f"w{rng.randrange(200)}" for _ in range(30)] + ["bad"] * toxic), "en" if i % 2 else None))
+        marks.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    first, n = teaching_ids(docs, labels, 300, 1 << 20, "doc_id", "text", "toxic")
+    assert len(first) == 300 and n > 5
+    late = docs.selectExpr("doc_id", f"case when doc_id in ({','.join(map(str, first))}) then text else replace(text, 'bad', 'worse') end as text", "lang")
+    got = toxicity(late, labels, 300).where(held_out("doc_id")).collect()
+    assert sum(r.predicted == (r.doc_id % 5 == 0) for r in got) >= 0.97 * len(got)
+    a, b = train(late, labels, 300), train(late.repartition(5), labels.repartition(3), 300)
+    assert np.array_equal(a.emb, b.emb) and a.shift == b.shift and a.thresholds == b.thresholds
+
+
 def test_toxicity(spark, empty):
     from tessera.llm.toxicity import drop_toxic, toxicity
 
