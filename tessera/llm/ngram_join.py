@@ -13,7 +13,8 @@ also probe each higher band whose sizes can still link with theirs.
 Equal segments are combined twice: within a batch of documents, which sends its smallest document for
 each segment, and across batches. Both times a spanning forest of the documents that share segments goes
 out (not all pairs), and its components are groups: linked documents always lie in one group. A group is
-dealt to tiles of bounded documents and bytes, so a text is sent once. The task of a tile compares whole
+dealt to tiles of bounded documents and bytes, so a text is sent once. The texts of grouped documents are looked up
+once and written; a broadcast bitmap of hashed ids keeps most others out of that shuffle. The task of a tile compares whole
 sketches, verifies pairs whose Hamming distance allows a link on their sets, skips pairs that links found
 before join already, and emits a forest of links: never pairs, never a text for a pair.
 
@@ -62,6 +63,8 @@ NO_ID = np.iinfo(np.int64).min
 SHARP = 8
 #: They are compared folded to this part of their width first.
 FOLD = 4
+#: Words of 64 bits, at most, of the bitmap that tells which documents are grouped. A fuller bitmap lets more texts pass to the join.
+MASK_WORDS = 1 << 18
 
 
 class Sets:
@@ -431,6 +434,15 @@ def segments(docs: DataFrame, width: int, threshold: tuple[int, int], doc_id: st
     return docs.sparkSession.read.schema("a binary, b binary, kind string").parquet(f"{home}/found")
 
 
+def among(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """docs without most of those whose doc_id is not one of the n ids: a bitmap of hashes, 16 bits an id, is broadcast."""
+    words = min(MASK_WORDS, max(64, 1 << (n // 4).bit_length()))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(64 * words))
+    word, mask = F.shiftright(bit, 6), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    held = ids.groupBy(word.alias("word")).agg(F.bit_or(mask).alias("mask"))
+    return docs.join(F.broadcast(held), word == held["word"]).where(F.col("mask").bitwiseAND(mask) != 0).select(docs.columns)
+
+
 def buckets(docs: DataFrame, text: str) -> int:
     return max(64, X.text_bytes(docs, text) // (8 << 20))
 
@@ -453,21 +465,26 @@ def linked(docs: DataFrame, found: DataFrame, width: int, threshold: tuple[int,
     plan = group.join(sizes.select("key", tiles_of(F.col("g"), F.col("size"), tile, TILE_BYTES).alias("nt"), (F.col("size") / F.col("g")).alias("mean")), "key").checkpoint()
     links, n_found = pick(found, "link"), 0
 
-    def compare(texts: DataFrame, rows: DataFrame, dealings: int) -> None:
+    def compare(rows: DataFrame, dealings: int) -> None:
         nonlocal links, n_found
         path = f"{home}/links-{n_found}"
-        tiled(texts.join(rows, "doc_id"), n_buckets, link_tile(width, num, den), dealings).write.parquet(path)
+        tiled(rows, n_buckets, link_tile(width, num, den), dealings).write.parquet(path)
         X.release(spark)
         links, n_found = links.unionByName(spark.read.schema("a long, b long").parquet(path)), n_found + 1
 
-    compare(own, plan.where("nt = 1").select("doc_id", "key", F.col("doc_id").alias("c"), "nt"), 1)
+    # the texts of all groups are written at once, those of large ones apart, and what follows reads them alone
+    X.release(spark)
+    grouped = among(own, plan, plan.count()).join(plan.select("doc_id", "key", "nt", (F.col("nt") > 1).alias("large")), "doc_id")
+    grouped.write.partitionBy("large").parquet(f"{home}/grouped")
+    X.release(spark)
+    grouped = spark.read.schema(grouped.schema).parquet(f"{home}/grouped").withColumn("c", F.col("doc_id"))
+    compare(grouped.where("not large").drop("large"), 1)
+    X.remove(spark, f"{home}/grouped/large=false")
     large = plan.where("nt > 1")
     if not large.limit(1).count():
         return components(links).checkpoint()
-    # the texts of large groups are written once, and what follows reads them alone
-    own.join(large.select("doc_id"), "doc_id").write.parquet(f"{home}/large")
-    texts = spark.read.schema("doc_id long, text string").parquet(f"{home}/large")
-    compare(texts, large.select("doc_id", "key", F.col("doc_id").alias("c"), "nt"), SWEEPS)
+    compare(grouped.where("large").drop("large"), SWEEPS)
+    texts = grouped.where("large").select("doc_id", "text")
     label = components(links).checkpoint()
     rows = large.join(label, "doc_id", "left").select("doc_id", "key", "mean", F.coalesce("component_id", "doc_id").alias("c"))
     sizes = rows.groupBy("key", "c").agg(F.count("*").alias("k"), F.max("mean").alias("mean"))
@@ -495,7 +512,8 @@ def linked(docs: DataFrame, found: DataFrame, width: int, threshold: tuple[int,
     close = components(spark.read.schema("a long, b long").parquet(*(f"{home}/close/{k}" for k in range(rounds)))).withColumnRenamed("component_id", "key").checkpoint()
     size = texts.select("doc_id", F.octet_length("text").alias("size")).join(close, "doc_id").groupBy("key").agg(F.count("*").alias("g"), F.sum("size").alias("size"))
     some = close.join(size.select("key", tiles_of(F.col("g"), F.col("size"), tile, TILE_BYTES).alias("nt")), "key").join(label, "doc_id", "left")
-    compare(texts, some.select("doc_id", "key", F.coalesce("component_id", "doc_id").alias("c"), "nt"), 0)
+    compare(texts.join(some.select("doc_id", "key", F.coalesce("component_id", "doc_id").alias("c"), "nt"), "doc_id"), 0)
+    X.remove(spark, f"{home}/grouped")
     return components(links).checkpoint()
 
 

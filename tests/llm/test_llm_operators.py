@@ -442,6 +442,45 @@ def test_components_of_few_links_take_few_jobs(spark, monkeypatch, local):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def shuffled(spark) -> dict[int, int]:
+    """Bytes that each stage so far wrote to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return {(s := stages.apply(i)).stageId(): s.shuffleWriteBytes() for i in range(stages.size())}
+
+
+@pytest.mark.parametrize("words", [1 << 18, 1])
+def test_ngram_join_shuffles_the_texts_of_groups_alone(spark, tmp_path, monkeypatch, words):
+    """Texts without a group stay out of the join, and those that a fuller bitmap lets pass are shuffled once."""
+    from tessera.llm import exchange, ngram_join
+
+    monkeypatch.setattr(exchange, "shared_dir", lambda spark: str(tmp_path / "home"))
+    monkeypatch.setattr(ngram_join, "MASK_WORDS", words, raising=False)
+    rng = random.Random(6)
+    words_of = lambda n: [f"{rng.randrange(1 << 40):x}" for _ in range(n)]
+    rows = [(i, " ".join(words_of(800))) for i in range(1000, 1600)]
+    base = words_of(400)
+    rows += [(i, " ".join(base + words_of(5))) for i in range(30)]  # a large group
+    for i in range(100, 120, 2):  # groups of one tile
+        pair = words_of(60)
+        rows += [(i, " ".join(pair)), (i + 1, " ".join([*pair, "more"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).checkpoint()
+    found = ngram_join.segments(docs, 5, (80, 100), "doc_id", "text", str(tmp_path / "home"))
+    before = shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with more documents
+    try:
+        label = ngram_join.linked(docs, found, 5, (80, 100), "doc_id", "text", str(tmp_path / "home"), 10)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sent = sum(n for k, n in shuffled(spark).items() if k not in before)
+    want = {i: 0 for i in range(30)} | {i: i // 2 * 2 for i in range(100, 120)}
+    assert {r.doc_id: r.component_id for r in label.collect()} == want
+    size = sum(len(t) for _, t in rows)
+    assert 0 < sent < (0.3 if words > 1 else 1) * size
+    assert not (tmp_path / "home" / "grouped").exists() or not list((tmp_path / "home" / "grouped").glob("large*"))
+
+
 def test_copies_of_sketches_meet_in_rounds(spark, tmp_path, monkeypatch):
     """A group of many tiles without a core: its sketches meet in rounds of bounded bytes, and no link between tiles is lost."""
     from tessera.llm import exchange, ngram_join
