@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df without lineage, kept in the shared checkpoint folder."""
+    """df without lineage, kept in the shared checkpoint folder.
+
+    The planner forgets the size it had guessed from the bytes of compressed files: by that guess, tables far larger than the
+    broadcast threshold went through the driver. Joins over the copy are planned by measured bytes instead.
+    """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         base = sc.getConf().get("spark.checkpoint.dir")
@@ -19,7 +23,17 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = "file:///tmp/checkpoints/tessera"  # one machine, as in tests
         sc.setCheckpointDir(f"{base}/graph-{uuid.uuid4().hex}")
-    return df.checkpoint()
+    kept = df.checkpoint()
+    spark, jvm = df.sparkSession, sc._jvm
+    plan, none = kept._jdf.queryExecution().analyzed(), jvm.scala.Option.empty()
+    plan = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), False, none, spark._jsparkSession, none, none)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, plan), spark)
+
+
+def dealt(df: DataFrame, *by: str, of: DataFrame | None = None, rows: int = 500_000) -> DataFrame:
+    """df dealt by `by` to partitions of about `rows` rows of `of` (itself if not given), which are not merged for compressing well."""
+    n = max(1, -(-(df if of is None else of).count() // rows))
+    return df.repartition(n, *by)
 
 
 def closure(seeds: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst", node: str = "node", root: str = "root", rounds: int = 1000) -> DataFrame:

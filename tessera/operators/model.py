@@ -71,18 +71,23 @@ def is_own_impl() -> Column:
 
 def edge_removed(edges: DataFrame, removed: DataFrame, defs: DataFrame) -> DataFrame:
     """edges with `gone`: the source lies in a removed path, or in an impl of a removed type. removed(path)."""
+    from .graph import cut
+
     paths = removed.select(F.col("path").alias("_r")).distinct()
     parts = F.split("from_path", "::")
     at = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "::"))
-    e = edges.withColumn("_e", F.monotonically_increasing_id())
-    from .graph import cut
+    e = cut(edges)
+    # sources are judged once a path, not once an edge
+    covered = e.select("from_path").distinct().select("from_path", F.explode(at).alias("_r")).join(paths, "_r").select("from_path").distinct().withColumn("_c", F.lit(True))
+    types = defs.join(paths, F.col("path") == F.col("_r")).select("cfg", F.col("key").alias("own_key")).distinct().withColumn("_t", F.lit(True))
+    e = join_some(e.join(covered, "from_path", "left"), types, ["cfg", "own_key"], "to_key")
+    return e.withColumn("gone", no("_c") | no("_t")).drop("_c", "_t").select(*edges.columns, "gone")
+
 
-    e = cut(e)
-    covered = e.select("_e", F.explode(at).alias("_r")).join(paths, "_r").select("_e")
-    types = defs.join(paths, F.col("path") == F.col("_r")).select("cfg", F.col("key").alias("own_key"))
-    impls = e.join(types, ["cfg", "own_key"]).select("_e")
-    gone = covered.unionByName(impls).distinct().withColumn("gone", F.lit(True))
-    return e.join(gone, "_e", "left").withColumn("gone", no("gone")).drop("_e")
+def join_some(left: DataFrame, right: DataFrame, on: list[str], spread: str) -> DataFrame:
+    """Left join by columns of which the last is often null: rows of null match nothing, and are spread over the tasks by another column."""
+    salt = F.when(F.col(on[-1]).isNull(), F.xxhash64(spread)).otherwise(F.xxhash64(on[-1]))
+    return left.withColumn("_salt", salt).join(right.withColumn("_salt", F.xxhash64(on[-1])), [*on, "_salt"], "left").drop("_salt")
 
 
 def trait_parent(defs: DataFrame) -> DataFrame:
@@ -168,7 +173,7 @@ def externally_reachable(defs: DataFrame, exported: DataFrame) -> DataFrame:
     inherent = category(F.col("parent_kind"), F.col("trait_item")) == "inherent"
     direct = d.select("cfg", "key", inherent.alias("_i"), "public", "self_type", (F.col("public") & (no("open") | no("_via"))).alias("_own"))
     of_type = direct.where("not _i").select("cfg", F.col("key").alias("self_type"), F.col("_own").alias("_type"))
-    j = direct.join(of_type, ["cfg", "self_type"], "left")
+    j = join_some(direct, of_type, ["cfg", "self_type"], "key")
     return j.select("cfg", "key", F.when(F.col("_i"), F.col("public") & no("_type")).otherwise(F.col("_own")).alias("reachable"))
 
 
@@ -177,7 +182,8 @@ def reach(defs: DataFrame, deg: DataFrame) -> DataFrame:
     used = deg.select("cfg", "key", F.lit(True).alias("_u"))
     known = defs.select("cfg", F.col("key").alias("trait_item"), F.lit(True).alias("_k"))
     by_trait = used.select("cfg", F.col("key").alias("trait_item"), F.lit(True).alias("_d"))
-    d = defs.join(used, ["cfg", "key"], "left").join(known, ["cfg", "trait_item"], "left").join(by_trait, ["cfg", "trait_item"], "left")
+    d = defs.join(used, ["cfg", "key"], "left")
+    d = join_some(d, known.join(by_trait, ["cfg", "trait_item"], "full"), ["cfg", "trait_item"], "key")
     r = (
         F.when(F.col("export_root"), "export-root").when(no("_u"), "direct").when(F.col("trait_item").isNotNull() & F.col("_k").isNull(), "external-dispatch")
         .when(F.col("trait_item").isNotNull() & no("_d"), "internal-dispatch").otherwise("unreached")

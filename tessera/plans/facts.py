@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.graph import cut
+from ..operators.graph import cut, dealt
 
 
 def div(x: str, n: int) -> str:
@@ -63,7 +63,7 @@ def _select(columns: dict[str, str], names) -> list[str]:
 
 
 def defs(spark: SparkSession, d: str, *names: str) -> DataFrame:
-    p = spark.read.parquet(f"{d}/part.parquet").selectExpr("*", "explode(array(0, 1)) AS cfg").where("cfg = 0 OR p_size > 20")
+    p = dealt(spark.read.parquet(f"{d}/part.parquet"), "p_partkey", rows=50_000).selectExpr("*", "explode(array(0, 1)) AS cfg").where("cfg = 0 OR p_size > 20")
     return cut(p.selectExpr(*_select(DEFS, names)))
 
 
