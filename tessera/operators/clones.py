@@ -128,19 +128,25 @@ def duplicate_records(baseline: DataFrame) -> DataFrame:
 def stitchable(groups: DataFrame, most: int = 5, width: int = 64) -> DataFrame:
     """Pairs of groups of equal size whose instances lie near each other pair by pair, counted for each largest gap up to `most` (cumulative).
 
-    A gap is the later start less the earlier end, 0 where two overlap, and the largest of a pair counts; pairs of gap 0 don't. First
-    instances meet by file and cells of lines, so no two groups of different places are compared.
+    A gap is the later start less the earlier end, 0 where two overlap, and the largest of a pair counts; pairs of gap 0 don't. Groups
+    at the same places are counted first and compared once; the rest meet by all of their files and cells of lines, each pair in the
+    first cell that both have.
     """
-    g = groups.select("gid", F.size("instances").alias("n"), "instances")
-    first = F.col("instances")[0]
-    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width)))
-    a = g.select(F.col("gid").alias("ga"), "n", F.col("instances").alias("ia"), first["file"].alias("file"), cells(first["line"] - most, first["end_line"] + most).alias("c"))
-    b = g.select(F.col("gid").alias("gb"), "n", F.col("instances").alias("ib"), first["file"].alias("file"), cells(first["line"], first["end_line"]).alias("c"))
-    pair = a.join(b, ["n", "file", "c"]).where("ga < gb").dropDuplicates(["ga", "gb"])
+    place = F.transform("instances", lambda x: F.struct(x["file"], x["line"], x["end_line"]))
+    g = groups.select(place.alias("i")).where(F.forall("i", lambda x: x["file"].isNotNull())).groupBy("i").agg(F.count("*").alias("n"))
+    g = g.withColumn("files", F.transform("i", lambda x: x["file"]))
+    line, end = F.col("i")[0]["line"], F.col("i")[0]["end_line"]
+
+    def celled(x: str, more: int) -> DataFrame:
+        lo, hi = F.floor(F.least(line - more, end + more) / width), F.floor(F.greatest(line - more, end + more) / width)
+        return g.select("files", F.col("i").alias(f"i{x}"), F.col("n").alias(f"n{x}"), lo.alias(f"c{x}"), F.explode(F.sequence(lo, hi)).alias("c"))
+
     gap = lambda x, y: F.greatest(y["line"] - x["end_line"], x["line"] - y["end_line"], F.lit(0))
-    pair = pair.where(F.forall(F.zip_with("ia", "ib", lambda x, y: x["file"] == y["file"]), lambda t: t))
-    top = pair.withColumn("gap", F.array_max(F.zip_with("ia", "ib", gap))).where(F.col("gap").between(1, most))
-    return top.select(*[F.count_if(F.col("gap") <= x).alias(f"gap_{x}") for x in range(1, most + 1)])
+    top = lambda a, b: F.array_max(F.zip_with(a, b, gap)).alias("gap")
+    pair = celled("a", most).join(celled("b", 0), ["files", "c"]).where("ia < ib and c = greatest(ca, cb)").select(top("ia", "ib"), (F.col("na") * F.col("nb")).alias("n"))
+    same = g.where("n > 1").where(line.isNotNull() & end.isNotNull()).select(top("i", "i"), F.expr("n * (n - 1) div 2").alias("n"))
+    near = pair.unionByName(same).where(F.col("gap").between(1, most))
+    return near.select(*[F.coalesce(F.sum(F.when(F.col("gap") <= x, F.col("n"))), F.lit(0)).alias(f"gap_{x}") for x in range(1, most + 1)])
 
 
 def measures(groups: DataFrame, stats: DataFrame, found: DataFrame, classes: DataFrame | None = None) -> DataFrame:

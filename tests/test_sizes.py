@@ -2,7 +2,7 @@
 
 import random
 
-from tessera.operators import graph, model
+from tessera.operators import clones, graph, model
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +38,25 @@ def test_rows_without_a_key_are_spread(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert max(sizes) < 4000 / 4
+
+
+def stitched(groups, most=5):
+    out = [0] * most
+    for x, a in enumerate(groups):
+        for b in groups[x + 1 :]:
+            if len(a) == len(b) and all(p[0] == q[0] for p, q in zip(a, b)):
+                gap = max(max(q[1] - p[2], p[1] - q[2], 0) for p, q in zip(a, b))
+                out = [n + (1 <= gap <= i) for i, n in enumerate(out, 1)]
+    return out
+
+
+def test_groups_at_the_same_places_are_compared_once(spark):
+    rng = random.Random(7)
+    one = lambda: (rng.choice("ab"), x := rng.randrange(300), x + rng.choice([0, 5, 90, -2]))
+    groups = [sorted(one() for _ in range(rng.choice([1, 2, 2]))) for _ in range(250)] + [[("a", 100, 98)]] * 5
+    groups += rng.choices(groups, k=200)
+    g = spark.createDataFrame(list(enumerate(groups)), "gid int, instances array<struct<file:string,line:int,end_line:int>>")
+    assert list(clones.stitchable(g).first()) == stitched(groups)
+    crowd = [(i, [("a", 1, 3)] if i % 2 else [("a", 5, 6)]) for i in range(20_000)]
+    found = clones.stitchable(spark.createDataFrame(crowd, "gid int, instances array<struct<file:string,line:int,end_line:int>>"))
+    assert list(found.first()) == [0, *[10_000 * 10_000] * 4]
