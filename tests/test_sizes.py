@@ -2,7 +2,7 @@
 
 import random
 
-from tessera.operators import clones, graph, model
+from tessera.operators import clones, graph, model, shadow
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,6 +40,24 @@ def test_rows_without_a_key_are_spread(spark):
     assert max(sizes) < 4000 / 4
 
 
+def test_dependents_of_a_chain_deeper_than_a_thousand(spark):
+    n = 1200
+    members = spark.createDataFrame([(f"m-{i}",) for i in range(n)] + [("a-b",), ("a_b",), (None,)], "member string")
+    deps = spark.createDataFrame([(f"m-{i}", f"m-{i + 1}") for i in range(n)] + [("a-b", "m-1199"), ("a_b", "m-1198"), ("m-1199", "a_b"), ("gone", "m-3")], "member string, name string")
+    got = [tuple(r) for r in shadow.dependents(members, deps).collect()]
+    want = {(f"m_{j}", f"m_{i}") for i in range(n) for j in range(i, n)} | {("a_b", f"m_{i}") for i in range(n)} | {("a_b", "a_b"), ("m_1198", "a_b"), ("m_1199", "a_b"), (None, None)}
+    want |= {("m_1198", "m_1199")}  # m-1199 needs a_b, which needs m-1198
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_dependents_of_more_links_than_a_task_holds(spark, monkeypatch):
+    members = spark.createDataFrame([(f"m-{i}",) for i in range(9)], "member string")
+    deps = spark.createDataFrame([(f"m-{i}", f"m-{i * 2 % 9}") for i in range(9)] * 2, "member string, name string")
+    want = sorted(map(tuple, shadow.dependents(members, deps).collect()))
+    monkeypatch.setattr(shadow, "LINKS", 3)
+    assert sorted(map(tuple, shadow.dependents(members, deps).collect())) == want
+
+
 def stitched(groups, most=5):
     out = [0] * most
     for x, a in enumerate(groups):
