@@ -34,7 +34,10 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     o = t(spark, d, "orders").select("o_orderkey", "o_custkey")
     c = t(spark, d, "customer").select("c_custkey", "c_nationkey")
     s = t(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).join(s, li.l_suppkey == s.s_suppkey)
+    # the small tables first: lines are then dealt once, by the order, for the join and for what is folded by it
+    users = graph.dealt(li.join(s, li.l_suppkey == s.s_suppkey), "l_orderkey", of=li)
+    at = graph.dealt(o.join(c, o.o_custkey == c.c_custkey), "o_orderkey", of=li)
+    j = users.join(at, F.col("l_orderkey") == F.col("o_orderkey"))
     return j.select(F.col("l_orderkey").alias("key"), F.col("l_suppkey").alias("src"), (F.col("s_nationkey") != F.col("c_nationkey")).alias("external"), (F.col("l_returnflag") == "R").alias("test"), F.col("l_linestatus").alias("config_id"))
 
 

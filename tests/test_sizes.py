@@ -2,7 +2,10 @@
 
 import random
 
+from oracle import compare
+
 from tessera.operators import clones, graph, model, shadow
+from tessera.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +81,14 @@ def test_groups_at_the_same_places_are_compared_once(spark):
     crowd = [(i, [("a", 1, 3)] if i % 2 else [("a", 5, 6)]) for i in range(20_000)]
     found = clones.stitchable(spark.createDataFrame(crowd, "gid int, instances array<struct<file:string,line:int,end_line:int>>"))
     assert list(found.first()) == [0, *[10_000 * 10_000] * 4]
+
+
+def test_dealt_partitions_follow_the_rows(spark):
+    assert graph.dealt(spark.range(1000), "id", rows=100).rdd.getNumPartitions() == 10
+    assert graph.dealt(spark.range(3), "id", of=spark.range(1000), rows=300).rdd.getNumPartitions() == 4
+    assert "REPARTITION_BY_NUM" in QUERIES["usage_verdict"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_large_queries_still_equal_sql(spark):
+    for name in ("stitchable_pairs", "crate_dependents", "statement_runs"):
+        assert compare(spark, name, QUERIES[name], SQL[name], "/root/testdata/sf0.01") > 0
