@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import dealt
+
 # Gates of the clone query.
 MIN_LINES, MIN_TOKENS, MIN_INSTANCES, MIN_ANCHORS, MIN_RATIO, MAX_PARAMS, MAX_LIVE_OUT, WINDOW = 8, 40, 2, 4, 0.5, 3, 1, 8
 TOKEN = "[A-Za-z_][A-Za-z_0-9]*|[0-9]+(?:\\.[0-9]+)?|\"[^\"]*\"|[^\\sA-Za-z_0-9]"
@@ -180,6 +182,7 @@ def scan_files(files: DataFrame, include: list[str], exclude: list[str], ignore_
 
 def statement_runs(statements: DataFrame, longest: int | None = None) -> DataFrame:
     """Runs of two statements or more of a block: (block, first, last, tokens). statements(block, pos, tokens)."""
+    statements = dealt(statements, "block", rows=100_000)
     w = Window.partitionBy("block").orderBy("pos").rowsBetween(0, longest - 1 if longest else Window.unboundedFollowing)
     runs = statements.withColumn("r", F.collect_list(F.struct("pos", "tokens")).over(w))
     each = runs.select("block", F.col("pos").alias("first"), F.explode(F.transform(F.sequence(F.lit(2), F.greatest(F.size("r"), F.lit(2))), lambda n: F.slice("r", 1, n))).alias("s"))

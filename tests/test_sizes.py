@@ -86,6 +86,8 @@ def test_groups_at_the_same_places_are_compared_once(spark):
 def test_dealt_partitions_follow_the_rows(spark):
     assert graph.dealt(spark.range(1000), "id", rows=100).rdd.getNumPartitions() == 10
     assert graph.dealt(spark.range(3), "id", of=spark.range(1000), rows=300).rdd.getNumPartitions() == 4
+    rows = spark.createDataFrame([(i % 50, i, ["x"]) for i in range(200)], "block int, pos int, tokens array<string>")
+    assert "REPARTITION_BY_NUM" in clones.statement_runs(rows)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in QUERIES["usage_verdict"](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
