@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import callgraph, guards, imports, model, scaffold, usage
+from ..operators.graph import cut
 from . import facts
 from .queries import query
 
@@ -38,6 +39,12 @@ def land(spark, d, *more):
     return model.landed(e, facts.defs(spark, d, "cfg", "key", "trait_item", "krate"))
 
 
+def folded(spark, d, x):
+    """The fold of all uses, written once for all who read it; edges without the texts that it doesn't look at."""
+    e = facts.edges(spark, d, "cfg", "target_kind", "is_test_cfg", "from_key", "to_key", "external", "import", "trait_scope", "own_key")
+    return cut(model.fold(model.landed(e, facts.defs(spark, d, "cfg", "key", "trait_item", "krate")), x))
+
+
 @query(f"WITH {D} SELECT cfg, key, {CAT} AS category, {CAT} IN ('module', 'inherent') AS deletable, public AND NOT synthetic AND {CAT} <> 'other' AND kind IN {KINDS} AS candidate FROM d")
 def categories(spark, d):
     x = facts.defs(spark, d)
@@ -52,19 +59,19 @@ def candidate_crates(spark, d):
 
 @query(f"WITH {MODEL} SELECT cfg, key, total, intra, test, test_intra FROM g")
 def use_fold(spark, d):
-    return model.fold(land(spark, d), facts.defs(spark, d))
+    return folded(spark, d, facts.defs(spark, d))
 
 
 @query(f"WITH {MODEL}, {REACH} SELECT cfg, key, reach FROM r")
 def reach_of_definitions(spark, d):
     x = facts.defs(spark, d)
-    return model.reach(x, model.fold(land(spark, d), x)).select("cfg", "key", "reach")
+    return model.reach(x, folded(spark, d, x)).select("cfg", "key", "reach")
 
 
 @query(f"WITH {MODEL}, {REACH} SELECT cfg, path, bool_or(reach <> 'unreached') AS reached FROM r WHERE public AND NOT synthetic AND {CAT} <> 'other' AND kind IN {KINDS} GROUP BY ALL")
 def candidate_identities(spark, d):
     x = facts.defs(spark, d)
-    return model.candidate_identities(model.reach(x, model.fold(land(spark, d), x)))
+    return model.candidate_identities(model.reach(x, folded(spark, d, x)))
 
 
 @query(f"""WITH {D}, {E}, {LAND}, {TP} SELECT DISTINCT l.cfg, l.key FROM l WHERE key IS NOT NULL AND in_signature AND NOT trait_scope AND NOT {OWN} AND (EXISTS (SELECT 1 FROM d WHERE d.cfg = l.cfg AND d.key = l.from_key AND d.public)
@@ -222,7 +229,7 @@ def landings(spark, d):
 SELECT x.what, x.cfg, x.owner, bool_or(g.key IS NULL) AS unreached FROM x LEFT JOIN g ON x.cfg = g.cfg AND x.key = g.key GROUP BY ALL""")
 def unreached_members(spark, d):
     x = facts.defs(spark, d)
-    deg = model.fold(land(spark, d), x)
+    deg = folded(spark, d, x)
     some = (("trait", guards.trait_members(x)), ("inherent", guards.inherent_members(x)), ("field", guards.landings(x, "field").drop("name")))
     out = [guards.any_unreached(m, deg).select(F.lit(n).alias("what"), "cfg", "owner", "unreached") for n, m in some]
     return out[0].unionByName(out[1]).unionByName(out[2])
@@ -267,7 +274,7 @@ k AS (SELECT self_type, min(CASE WHEN of_trait THEN 1 WHEN lo IS NULL THEN 2 WHE
 SELECT self_type, CASE rank WHEN 1 THEN 'trait-impl' WHEN 2 THEN 'no-editable-surface' ELSE 'item-reached' END AS reason FROM k WHERE rank IS NOT NULL""")
 def impls_keeping(spark, d):
     x = facts.defs(spark, d)
-    reached = model.fold(land(spark, d), x).join(x, ["cfg", "key"]).select("path").distinct()
+    reached = folded(spark, d, x).join(x, ["cfg", "key"]).select("path").distinct()
     return guards.impls_keeping(blocks(spark, d), x.where("key % 10 = 2").select(F.col("path").alias("self_type")).distinct(), reached)
 
 

@@ -94,3 +94,7 @@ def test_dealt_partitions_follow_the_rows(spark):
 def test_large_queries_still_equal_sql(spark):
     for name in ("stitchable_pairs", "crate_dependents", "statement_runs"):
         assert compare(spark, name, QUERIES[name], SQL[name], "/root/testdata/sf0.01") > 0
+
+
+def test_the_fold_is_written_once_for_all_who_read_it(spark):
+    assert "is_test_cfg" not in QUERIES["unreached_members"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
